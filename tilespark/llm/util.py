@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Java regular expression of one word: no ASCII white space (tab to carriage return, space).
@@ -25,3 +30,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so a lost executor loses no rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Written:
+    """A table written as Parquet under the shared checkpoint folder."""
+
+    def __init__(self, table: DataFrame, path: str):
+        self.table, self.path = table, path
+
+    def drop(self) -> None:
+        spark = self.table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame) -> Written:
+    """``df`` as Parquet in the shared checkpoint folder: smaller there than ``checkpointed``, and dropped by hand."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Written(spark.read.schema(df.schema).parquet(path), path)
+
+
+def sliced(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about ``most`` bytes; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
