@@ -4,13 +4,17 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tilespark.llm import packing
 
+WHOLE = Tokenizer.from_file(packing.tokenizer_path())
+
 MESSY = [
     "The quick brown fox", "", None, "  lead and trail \n", "tab\tvt\x0bff\x0cfs\x1cgs\x1dnbsp\xa0em nel\x85end", "It's we'll 'S ΣΑΣ Σ",
-    "a<|endoftext|>b <|startoftext|> c", "é e ́x", "日本語 テキスト 123 4567", "x" * 3000, " line par", "İstanbul ǅ ﬁ", "\x00zero \x1f unit",
+    "a<|endoftext|>b <|startoftext|> c", "é e ́x", "日本語 テキスト 123 4567", "x" * 3000, " line par", "İstanbul ǅ ﬁ", "\x00zero \x1f unit", "İs 'S don'T ?'s ŉa ½x2³ Ǆ ħ", "H\u0331 E\u0301 e\u0301, É! ÀÉ-ß ſ K", "<|ENDOFTEXT|> a<|x <|endoftext|", "\u00ad\u00a1soft\u00ad",
 ]
 
 
@@ -22,6 +26,13 @@ def test_ids_equal_the_tokenizer_on_whole_texts():
         assert ids[lo:hi].tolist() == whole.encode(t, add_special_tokens=False).ids + [2], t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aAéÉßİǄſ'sStTlL.,!? 9½³<|>~\u0301\u0331\u00a0\u0085\x1c\tΣσΩ日"), max_size=30))
+def test_ids_of_odd_texts(text):
+    ids, _ = packing.WordTokens.of(packing.tokenizer_path()).encode(pa.array([text]), 2)
+    assert ids.tolist() == WHOLE.encode(text, add_special_tokens=False).ids + [2]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_pieces_cover_each_document_once(spark, parts):
     texts = MESSY + ["word " * k for k in (1, 5, 60, 61, 62, 130, 400)] * 3

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,11 @@ END_ID = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHED_WORDS = 1 << 19
 
+#: How the tokenizer cuts lower-cased text into parts, and the characters for which that is done here: those
+#: before U+0250 but white space and controls, which have no combining marks to normalise.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile("[!-~\u00a1-\u024f]*")
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -40,9 +46,18 @@ class WordTokens:
     """Ids of whole texts through a cache of their words.
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of its words between ASCII white
-    space, laid end to end. Each distinct word of a slice is looked up once; the cache is emptied when it is full.
+    space, laid end to end. Each distinct word of a slice is looked up once; a full cache is emptied between slices.
     """
 
+    kept: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """One for each worker process, so that its tasks share the cache."""
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -52,23 +67,33 @@ class WordTokens:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 20, np.uint32)
         self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = found.ids
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.place[word] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.used += len(ids)
+        """Ids of new words. Latin words are cut as the tokenizer cuts them, so that ``word`` and ``Word,`` share their part."""
+        cut = [PARTS.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else [w] for w in words]
+        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.parts))
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts[part] = found.ids
+        flat: list[int] = []
+        sizes = []
+        for word, parts in zip(words, cut):
+            self.place[word] = len(self.place)
+            before = len(flat)
+            for p in parts:
+                flat += self.parts[p]
+            sizes.append(len(flat) - before)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum([0, *sizes])[:-1].astype(np.int64)])
+        self.used += len(flat)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end_id``, and where each text's begin (one more entry than texts)."""
@@ -82,7 +107,7 @@ class WordTokens:
             self.forget()
         self.learn([w for w in distinct if w not in self.place])
         rows = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))
-        starts, sizes = np.asarray(self.starts, np.int64)[rows], np.asarray(self.sizes, np.int64)[rows]
+        starts, sizes = self.starts[rows], self.sizes[rows]
         codes = coded.indices.to_numpy()
         lengths = sizes[codes] if len(codes) else np.empty(0, np.int64)
         before = np.concatenate([[0], np.cumsum(lengths)])
@@ -167,7 +192,7 @@ def pack_documents(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, windows, out = WordTokens(path), OpenWindows(window, open_windows), _Rows()
+        tokens, windows, out = WordTokens.of(path), OpenWindows(window, open_windows), _Rows()
         part, emitted = 0, 0
 
         def emit(pieces: list) -> None:
