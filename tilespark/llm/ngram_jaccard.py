@@ -20,21 +20,19 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import checkpointed, sliced, written
+from .util import WORD, checkpointed, sliced, tree_sum, written
 
 WORDS = 5
 SIMILARITY = (80, 100)
 SKETCH_BITS = 20
 CHUNK_BITS = 16
-MERGE = 16
 PARTS = 64
-BITMAP_BITS = 19
+BITMAP_BITS = 20
 
 _TABLE = np.random.default_rng(2024).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -129,20 +127,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.nd
                  "chunk": pa.array(range(k), pa.int64()), "counts": pa.array([_pack(c) for c in chunks], pa.binary())}
             )
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_unpack(c) for c in frame["counts"])
-        return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // MERGE], "chunk": [int(frame["chunk"].iloc[0])], "counts": [_pack(total)]})
-
     scan = _scan(docs, id_col, text_col, [F.spark_partition_id().cast("long").alias("part")])
     found = checkpointed(scan.mapInArrow(count, "doc_id long, n long, set_key binary, part long, chunk long, counts binary"))
-    sums = found.where("chunk is not null").select("part", "chunk", "counts")
-    most = sums.agg(F.max("part")).first()[0]
-    while most is not None:  # a tree, so that no task adds more than MERGE tables
-        sums = checkpointed(sums.groupBy(F.expr(f"part div {MERGE}").alias("p"), F.col("chunk").alias("c")).applyInPandas(add, "part long, chunk long, counts binary"))
-        most = most // MERGE or None
+    sums = tree_sum(found.where("chunk is not null").select("part", "chunk", F.col("counts").alias("packed")), lambda each: _pack(sum(map(_unpack, each))))
     table = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in sums.collect():  # the table's fixed size
-        table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = _unpack(r["counts"])
+        table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = _unpack(r["packed"])
     level = np.minimum(255, np.round(6 * np.log2(np.maximum(table, 1)))).astype(np.uint8)
     return found.where("n is not null").select("doc_id", "n", "set_key"), level
 
@@ -156,7 +146,7 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, level: np.ndarray, similarity) -> DataFrame:
-    """A row per class: ``key, set_key, n, rep, least_id, prefix, parts``; ``rep`` is (doc_id, text_key) of one of its rows."""
+    """A row per class: ``key, set_key, n, rep, least_id, least_text, prefix, parts``; ``rep`` is (doc_id, text_key) of one of its rows."""
 
     def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +170,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, level: np.ndarray, sim
 
     rows = _scan(docs, id_col, text_col, []).mapInArrow(prefix, "doc_id long, text_key long, set_key binary, n int, prefix array<long>, parts array<int>")
     classes = rows.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")
+        F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))["text_key"].alias("least_text"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")
     )
     return classes.withColumn("key", F.monotonically_increasing_id())
 
@@ -214,7 +204,7 @@ class JaccardJoin:
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
         self.rows, level = _sets(docs, id_col, text_col)
         whole = written(_classes(docs, id_col, text_col, level, similarity))
-        self.classes = whole.table.select("key", "set_key", "n", "rep", "least_id")
+        self.classes = whole.table.select("key", "set_key", "n", "rep", "least_id", "least_text")
         self.parts = whole.table.select("key", "n", "parts")
         postings = written(self._postings(whole.table))
         self.postings = postings.table
@@ -270,18 +260,13 @@ class JaccardJoin:
         return pairs.join(x, "a").join(y, "b").where(F.lit(p + q) * overlap >= F.lit(p) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
-        """``key, text`` of the classes in ``pairs``. A bitmap of fixed size keeps most other texts out of the shuffle."""
+        """``key, text`` of the classes in ``pairs``. A bitmap of 16,384 words at most keeps most other texts out of the shuffle."""
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         wanted = checkpointed(self.classes.join(keys, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")))
-        bit = F.pmod(F.xxhash64("rep_id", "rep_text"), F.lit(1 << BITMAP_BITS))
-        words = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("bits"))
-        bits = np.zeros((1 << BITMAP_BITS) // 32, np.uint32)
-        for r in words.collect():
-            bits[r["word"]] = r["bits"]
-        held = F.lit(bytearray(np.unpackbits(bits.view(np.uint8), bitorder="little").tobytes()))
-        rows = _scan(self.docs, self.id_col, self.text_col, [])
-        here = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << BITMAP_BITS)).cast("int")
-        rows = rows.where(F.substring(held, here + 1, F.lit(1)) == F.lit(bytearray(b"\1")))
+        bit = lambda *key: F.pmod(F.xxhash64(*key), F.lit(1 << BITMAP_BITS))
+        held = wanted.select(bit("rep_id", "rep_text").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+        rows = _scan(self.docs, self.id_col, self.text_col, []).withColumn("bit", bit("doc_id", "text_key"))
+        rows = rows.join(F.broadcast(held), F.expr("bit div 64 = word")).where("(shiftrightunsigned(bits, cast(bit % 64 AS int)) & 1) = 1")
         same = (F.col("rep_text") == F.col("text_key")) & F.col("rep_id").eqNullSafe(F.col("doc_id"))
         return rows.join(wanted, same).select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
 
@@ -306,6 +291,20 @@ class JaccardJoin:
         both = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         return checkpointed(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
 
+    def keep_one(self) -> DataFrame:
+        """The rows of ``docs`` less all but one of each component: the smallest id, null last, then a hash of the text.
+
+        Rows without words stay. Rows that repeat both id and text are the same document and stay or go together.
+        """
+        in_class = self.classes.join(self.components, self.classes["key"] == self.components["node"], "left")
+        rank = F.struct(F.col("least_id").isNull().alias("last"), F.coalesce("least_id", F.lit(0)).alias("id"), F.col("least_text").alias("text"))
+        best = in_class.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min(rank).alias("best"))
+        kept = checkpointed(best.select(F.when(~F.col("best.last"), F.col("best.id")).alias("__kept_id"), F.col("best.text").alias("__kept_text")))
+        text = F.coalesce(F.col(self.text_col).cast("string"), F.lit(""))
+        same = (F.xxhash64(text) == F.col("__kept_text")) & F.col(self.id_col).cast("long").eqNullSafe(F.col("__kept_id"))
+        worded = text.rlike(WORD)
+        return self.docs.where(worded).join(kept, same, "left_semi").unionByName(self.docs.where(~worded))
+
     def documents(self) -> DataFrame:
         """Per input row: ``doc_id, n_shingles, component_id``, the smallest doc_id reachable by links.
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java regular expression of one word: no ASCII white space (tab to carriage return, space).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,3 +63,17 @@ def sliced(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def tree_sum(parts: DataFrame, add: Callable[[list[bytes]], bytes], merge: int = 16) -> DataFrame:
+    """Rows ``part, chunk, packed``: of each chunk one, the sum over all parts. No task adds more than ``merge`` of them."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // merge], "chunk": [int(frame["chunk"].iloc[0])], "packed": [add(list(frame["packed"]))]})
+
+    most = parts.agg(F.max("part")).first()[0]
+    while most is not None:
+        by = [F.expr(f"part div {merge}").alias("p"), F.col("chunk").alias("c")]
+        parts = checkpointed(parts.groupBy(*by).applyInPandas(one, "part long, chunk long, packed binary"))
+        most = most // merge or None
+    return parts
