@@ -156,27 +156,16 @@ def identify(docs: DataFrame, model: KernelRidge | None, id_col: str = "doc_id",
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.3) -> DataFrame:
     """``docs`` without texts of no known language: those without letters and those whose best score is under ``least_score``.
 
-    Rows stream through with all their columns. Without labelled texts nothing can be rejected but letterless ones.
+    Other columns are not looked at and stay. Without labelled texts nothing can be rejected but letterless ones.
     """
     model = train(docs, id_col, text_col, lang_col)
 
-    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            texts = [t if isinstance(t, str) else None for t in frame[text_col].tolist()]
-            if model is None:
-                good = [t is not None and bool(LETTER.search(t)) for t in texts]
-            else:
-                names, scores = predicted(texts, model)
-                good = [n != UNKNOWN and s >= least_score for n, s in zip(names, scores)]
-            yield frame[np.array(good, bool)]
-
-    plain = {f.dataType.simpleString() for f in docs.schema} <= {"bigint", "string", "double", "boolean"}
-    integers = [f.name for f in docs.schema if f.dataType.simpleString() in ("bigint", "int")]
-    if not plain:
-        raise TypeError("keep_known takes columns of long, string, double or boolean")
-
-    def safe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in keep(batches):
-            yield frame.astype({c: "Int64" for c in integers})
-
-    return docs.mapInPandas(safe, docs.schema)
+    @F.pandas_udf("boolean")
+    def known(column: pd.Series) -> pd.Series:
+        texts = [t if isinstance(t, str) else None for t in column.tolist()]
+        if model is None:
+            return pd.Series([t is not None and bool(LETTER.search(t)) for t in texts], dtype=bool)
+        names, scores = predicted(texts, model)
+        return pd.Series([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], dtype=bool)
+
+    return docs.where(known(F.col(text_col).cast("string")))
