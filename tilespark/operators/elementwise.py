@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ZERO = F.lit(0)
 
 UNARY: dict[str, Callable[[Column], Column]] = {
     "abs": F.abs, "neg": lambda v: -v, "square": lambda v: v * v, "sqrt": F.sqrt, "sin": F.sin,
@@ -34,7 +33,7 @@ def _met(x: DataFrame, y: DataFrame, how: str) -> DataFrame:
 
 def binary(x: DataFrame, y: DataFrame, f: Callable[[Column, Column], Column], how: str = "full") -> DataFrame:
     """``f`` of both cells over the cells of either (``full``) or of both (``inner``)."""
-    return _met(x, y, how).select("i", "j", f(F.coalesce("x", _ZERO), F.coalesce("y", _ZERO)).alias("v"))
+    return _met(x, y, how).select("i", "j", f(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))).alias("v"))
 
 
 def add(x: DataFrame, y: DataFrame) -> DataFrame:
