@@ -55,7 +55,7 @@ def _whole(tiles: DataFrame, meta: Meta, f) -> DataFrame:
         cut = [(i, j, out[i * r : (i + 1) * r, j * c : (j + 1) * c]) for i in range(meta.n_blocks(0)) for j in range(meta.n_blocks(1))]
         return _frame([x for x in cut if x[2].any()])
 
-    return tiles.groupBy(F.lit(0)).applyInPandas(run, TILES)
+    return tiles.groupBy().applyInPandas(run, TILES)
 
 
 def cholesky(tiles: DataFrame, meta: Meta, truncate: int = 0, tiled: bool = False) -> DataFrame:

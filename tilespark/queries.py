@@ -187,7 +187,7 @@ def _(s, d):
 @query("parent_constant", "Q", "SELECT a.i, b.j, coalesce(v, -1) AS v FROM range(0, (SELECT count(*) FROM part)) a(i) CROSS JOIN range(0, (SELECT count(*) FROM supplier)) b(j) LEFT JOIN Q ON Q.i = a.i AND Q.j = b.j WHERE a.i < 500")
 def _(s, d):
     meta = q_meta(s, d)
-    return matrix.with_parent(q_cells(s, d).where("i < 500"), Meta((500, meta.shape[1]), meta.tile), F.lit(-1).cast("long"))
+    return matrix.with_parent(q_cells(s, d).where("i < 500"), Meta((min(500, meta.shape[0]), meta.shape[1]), meta.tile), F.lit(-1).cast("long"))
 
 
 _TILE_SUMS = "SELECT CAST(i // {a} AS INTEGER) AS bi, CAST(j // {b} AS INTEGER) AS bj, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM E GROUP BY ALL"
@@ -350,7 +350,7 @@ def _(s, d):
     return reduce.reduce(u_cells(s, d), "prod", "i", len(TYPES)).withColumn("v", F.round(F.col("v") / 1000, 0))
 
 
-_ARG = "SELECT {axis}, at, CAST(v AS DOUBLE) AS v FROM (SELECT {axis}, {other} AS at, v, row_number() OVER (PARTITION BY {axis} ORDER BY v {desc}, {other}) AS r FROM {table}) WHERE r = 1"
+_ARG = "SELECT {axis}, \"at\", CAST(v AS DOUBLE) AS v FROM (SELECT {axis}, {other} AS \"at\", v, row_number() OVER (PARTITION BY {axis} ORDER BY v {desc}, {other}) AS r FROM {table}) WHERE r = 1"
 for _name, _axis, _large in (("argmin_col", "j", False), ("argmax_col", "j", True), ("argmin_row", "i", False)):
     query(_name, "E", _ARG.format(axis=_axis, other="ij".replace(_axis, ""), desc="DESC" if _large else "", table="E"))(
         lambda s, d, axis=_axis, large=_large: reduce.arg_extreme(e_cells(s, d), axis, WIDTH if axis == "i" else e_meta(s, d).shape[0], large)
@@ -375,10 +375,10 @@ def _a_cells(s, d):
 
 
 def _near(x: DataFrame) -> DataFrame:
-    return x.select("i", "j", F.round(F.col("v") / 1000, 0).cast("long").alias("v"))
+    return x.select("i", "j", F.round("v", 0).cast("long").alias("v"))
 
 
-_A_NEAR = f"SELECT i, j, CAST(round(v / 1000.0, 0) AS BIGINT) AS v FROM ({_A})"
+_A_NEAR = f"SELECT i, j, CAST(v AS BIGINT) AS v FROM ({_A})"
 
 
 def _lt_l(low: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def _(s, d):
     return found.agg(F.round(F.max(F.when(F.col("i") == 0, F.col("v"))), 3).alias("intercept"), F.round(F.max(F.when(F.col("i") == 1, F.col("v"))), 3).alias("slope"))
 
 
-@query("trisolve", "E G", f"SELECT i, CAST(round(v / 1000.0, 0) AS BIGINT) AS v FROM (SELECT i, sum(v * (j + 1)) AS v FROM ({_A}) GROUP BY i)")
+@query("trisolve", "E G", f"SELECT i, CAST(v AS BIGINT) AS v FROM (SELECT i, sum(v * (j + 1)) AS v FROM ({_A}) GROUP BY i)")
 def _(s, d):
     """L (Lᵀ x) for x = 1, 2, ...: solving it back and multiplying again gives A x."""
     from .session import cut_lineage
@@ -432,7 +432,7 @@ def _(s, d):
     b = gemm.gemv(a, x).select("i", F.lit(0).cast("long").alias("j"), "v")
     y = factor.trisolve(low, SMALL, matrix.to_tiles(b, one))
     back = gemm.gemv(matrix.to_cells(low, SMALL), matrix.to_cells(y, one).select("i", "v"))
-    return back.select("i", F.round(F.col("v") / 1000, 0).cast("long").alias("v"))
+    return back.select("i", F.round("v", 0).cast("long").alias("v"))
 
 
 @query("tsqr_gram", "E G", "SELECT i, j, v FROM G")
