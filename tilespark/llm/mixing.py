@@ -60,26 +60,25 @@ def highest_quotients(parties: DataFrame, group: list[str], key: list[str]) -> D
     The seats that a party surely gets are given outright, so only about four quotients a party are ranked.
     """
     w = Window.partitionBy(*group)
-    total, k = F.sum("votes").over(w), F.count(F.lit(1)).over(w)
-    ideal = F.when(F.col("all_votes") > 0, F.col("votes") * F.col("house") / F.col("all_votes")).otherwise(F.lit(0.0))
-    swing = F.when(F.col("all_votes") > 0, F.col("votes") * F.col("k") / F.col("all_votes")).otherwise(F.lit(0.0))
+    ideal = F.when(F.col("__all") > 0, F.col("votes") * F.col("house") / F.col("__all")).otherwise(F.lit(0.0))
+    swing = F.when(F.col("__all") > 0, F.col("votes") * F.col("__parties") / F.col("__all")).otherwise(F.lit(0.0))
     base = (
-        parties.withColumn("all_votes", total)
-        .withColumn("k", k)
-        .withColumn("low", F.greatest(F.floor(ideal - swing) - 1, F.lit(0)).cast("long"))
-        .withColumn("high", (F.ceil(ideal + swing) + 1).cast("long"))
+        parties.withColumn("__all", F.sum("votes").over(w))
+        .withColumn("__parties", F.count(F.lit(1)).over(w))
+        .withColumn("__low", F.greatest(F.floor(ideal - swing) - 1, F.lit(0)).cast("long"))
+        .withColumn("__high", (F.ceil(ideal + swing) + 1).cast("long"))
     )
-    order = Window.partitionBy(*group).orderBy(F.desc("quotient"), *key, "seat")
+    order = Window.partitionBy(*group).orderBy(F.desc("__quotient"), *key, "__seat")
     ranked = (
-        base.withColumn("left", F.col("house") - F.sum("low").over(w))
-        .withColumn("seat", F.explode(F.sequence("low", "high")))
-        .withColumn("quotient", F.col("votes") / (2 * F.col("seat") + 1))
-        .withColumn("place", F.row_number().over(order))
+        base.withColumn("__left", F.col("house") - F.sum("__low").over(w))
+        .withColumn("__seat", F.explode(F.sequence("__low", "__high")))
+        .withColumn("__quotient", F.col("votes") / (2 * F.col("__seat") + 1))
+        .withColumn("__place", F.row_number().over(order))
     )
     by = list(dict.fromkeys([*group, *key]))
     first = [F.first(c).alias(c) for c in parties.columns if c not in by]
-    won = F.count(F.when((F.col("place") <= F.col("left")) & (F.col("votes") > 0), 1))
-    return ranked.groupBy(*by).agg(*first, (F.first("low") + won).alias("seats"))
+    won = F.count(F.when((F.col("__place") <= F.col("__left")) & (F.col("votes") > 0), 1))
+    return ranked.groupBy(*by).agg(*first, (F.first("__low") + won).alias("seats"))
 
 
 def _div(a: Column, b: Column) -> Column:
