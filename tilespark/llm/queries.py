@@ -82,8 +82,8 @@ ORACLE_SQL = {
         ), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
         l AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * n >= 80 * (len(x.sh) + len(y.sh) - n)),
-        both AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-        reach AS (SELECT doc_id, doc_id AS x FROM documents UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON both.a = reach.x)
+        ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT doc_id, doc_id AS x FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.x)
         SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, r.component_id
         FROM s JOIN (SELECT doc_id, min(x) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
     """,
