@@ -89,7 +89,7 @@ def test_tsqr(spark, rows, parts):
 
 def test_argmin_counts_absent_cells(spark):
     a = np.array([[1.0, 2, 3], [0, 5, 0], [-1, 0, 4], [2, 0, 1]])
-    cells = spark.createDataFrame([(i, j, float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, v double")
+    cells = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, v double")
     for large, f in ((False, np.argmin), (True, np.argmax)):
         found = {r.i: r["at"] for r in arg_extreme(cells, "i", 3, large).collect()}
         assert found == dict(enumerate(f(a, axis=1).tolist()))

@@ -87,3 +87,37 @@ def delete_block(cells: DataFrame, meta: Meta, bi: int, bj: int) -> DataFrame:
 def with_ridge(cells: DataFrame, ridge: Column) -> DataFrame:
     """The ridge added to stored diagonal cells; a dense diagonal is the caller's (``with_parent``)."""
     return cells.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("v") + ridge).otherwise(F.col("v")).alias("v"))
+
+
+def get_blocks(cells: DataFrame, meta: Meta, rows: list[int], cols: list[int]) -> DataFrame:
+    """The cross product of block rows and block columns, as plain ranges."""
+    return transpose(get_rows(transpose(get_rows(cells, meta, rows)), Meta(meta.shape[::-1], meta.tile[::-1]), cols))
+
+
+def put_missing(cells: DataFrame, more: DataFrame, meta: Meta) -> DataFrame:
+    """``cells`` and those of ``more`` that lie in blocks ``cells`` has none of."""
+    a, b = meta.tile
+    block = [F.expr(f"i div {a}").alias("bi"), F.expr(f"j div {b}").alias("bj")]
+    there = cells.select(*block).distinct()
+    return cells.unionByName(more.select("*", *block).join(there, ["bi", "bj"], "left_anti").select(*cells.columns))
+
+
+def put_row(cells: DataFrame, meta: Meta, bi: int, row: DataFrame) -> DataFrame:
+    """A block row replaced by ``row``, whose own row indices start at 0."""
+    a = meta.tile[0]
+    return cells.where(~F.col("i").between(bi * a, (bi + 1) * a - 1)).unionByName(row.withColumn("i", F.col("i") + bi * a))
+
+
+def put_col(cells: DataFrame, meta: Meta, bj: int, col: DataFrame) -> DataFrame:
+    """A block column replaced by ``col``, whose own column indices start at 0."""
+    return transpose(put_row(transpose(cells), Meta(meta.shape[::-1], meta.tile[::-1]), bj, transpose(col)))
+
+
+def from_lower(lower: DataFrame) -> DataFrame:
+    """A symmetric matrix from its lower triangle."""
+    return lower.unionByName(transpose(lower.where("i > j")))
+
+
+def without_zeros(cells: DataFrame) -> DataFrame:
+    """Stored zeros dropped: absent means the same."""
+    return cells.where("v <> 0")

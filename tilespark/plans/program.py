@@ -59,6 +59,21 @@ class Program:
         reads = self.accesses(spark, "reads").withColumnRenamed("task", "child")
         return writes.join(reads, ["mat", "idx"]).select("parent", "child").distinct()
 
+    def children(self, spark: SparkSession, **task: int) -> DataFrame:
+        """Tasks that read what ``task`` (stmt and variables) writes."""
+        return self._next(spark, "parent", "child", task)
+
+    def parents(self, spark: SparkSession, **task: int) -> DataFrame:
+        """Tasks that write what ``task`` reads."""
+        return self._next(spark, "child", "parent", task)
+
+    def _next(self, spark: SparkSession, here: str, there: str, task: dict[str, int]) -> DataFrame:
+        """The filter on one task reaches its side of the join before the join."""
+        rows = self.edges(spark)
+        for name in ("stmt", *VARIABLES):
+            rows = rows.where(F.col(here)[name].eqNullSafe(F.lit(task.get(name))))
+        return rows.select(F.col(f"{there}.*"))
+
     def doubly_written(self, spark: SparkSession) -> DataFrame:
         """Indices with several writers: none in a single-assignment program."""
         return self.accesses(spark, "writes").groupBy("mat", "idx").agg(F.count(F.lit(1)).alias("writers")).where("writers > 1")

@@ -6,13 +6,16 @@ user by type. Integers keep sums exact in any order. The SQL of each input is a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import kernels
 from .operators import elementwise, factor, gemm, intervals, neighbors, reduce, reshard, views
 from .plans import program
+from .session import shared_folder
 from .sources import matrix
 from .sources.matrix import Meta
 from .streaming import gram as streaming
@@ -217,6 +220,47 @@ def _(s, d):
     return tiles.select("b0", "b1", "b2", F.size("cells").cast("long").alias("n"), F.aggregate("cells", F.lit(0).cast("long"), lambda t, c: t + c["v"]).alias("total"))
 
 
+@query("get_blocks", "Q", "SELECT i, j, v FROM Q WHERE i // 250 IN (0, 2) AND j // 7 IN (1, 3, 4)")
+def _(s, d):
+    return views.get_blocks(q_cells(s, d), q_meta(s, d), [0, 2], [1, 3, 4])
+
+
+@query("put_missing", "Q", "SELECT i, j, v FROM Q WHERE i < 100 UNION ALL SELECT i, j, v * 2 FROM Q WHERE i // 250 > 0 OR j // 7 NOT IN (SELECT j // 7 FROM Q WHERE i < 100)")
+def _(s, d):
+    q = q_cells(s, d)
+    return views.put_missing(q.where("i < 100"), q.withColumn("v", F.col("v") * 2), q_meta(s, d))
+
+
+@query("put_row", "E", "SELECT i, j, CASE WHEN i BETWEEN 100 AND 199 THEN i - 100 + j ELSE v END AS v FROM E")
+def _(s, d):
+    row = s.range(100).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))).alias("j"))
+    return views.put_row(e_cells(s, d), e_meta(s, d), 1, row.withColumn("v", F.col("i") + F.col("j")))
+
+
+@query("put_col", "E", "SELECT i, j, CASE WHEN j BETWEEN 16 AND 31 THEN i * 100 + j - 16 ELSE v END AS v FROM E")
+def _(s, d):
+    col = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("j"))
+    return views.put_col(e_cells(s, d), e_meta(s, d), 1, col.withColumn("v", F.col("i") * 100 + F.col("j")))
+
+
+@query("from_lower", "E G", "SELECT i, j, v FROM G")
+def _(s, d):
+    return views.from_lower(views.transpose(gemm.gram_upper(e_cells(s, d))))
+
+
+@query("without_zeros", "E", "SELECT i, j, v // 200 AS v FROM E WHERE v // 200 <> 0")
+def _(s, d):
+    return views.without_zeros(elementwise.unary(e_cells(s, d), lambda v: F.call_function("div", v, F.lit(200).cast("long"))))
+
+
+@query("saved_and_loaded", "E", "SELECT i, j, CAST(v AS DOUBLE) AS v FROM E")
+def _(s, d):
+    meta = e_meta(s, d)
+    path = f"{shared_folder(s)}/saved-{uuid.uuid4().hex}"
+    matrix.save(matrix.to_tiles(e_cells(s, d), meta), meta, path)
+    return matrix.to_cells(*matrix.load(s, path))
+
+
 # Products
 
 
@@ -345,6 +389,10 @@ def _(s, d):
     return reduce.reduce(e_cells(s, d), "sum", None, 0)
 
 
+for _op, _sql in (("min", "least(min(v), 0)"), ("max", "greatest(max(v), 0)"), ("norm", "round(sqrt(sum(CAST(v AS DOUBLE) * v)), 6)")):
+    query(f"{_op}_total", "Q", f"SELECT {_sql} AS v FROM Q")(lambda s, d, op=_op: (rounded if op == "norm" else lambda x: x)(reduce.reduce(q_cells(s, d), op, None, 1 << 62)))
+
+
 @query("prod_by_row", "U", "SELECT i, CASE WHEN count(*) < 5 THEN 0.0 ELSE round(exp(sum(ln(v))) / 1000, 0) END AS v FROM U GROUP BY i")
 def _(s, d):
     return reduce.reduce(u_cells(s, d), "prod", "i", len(TYPES)).withColumn("v", F.round(F.col("v") / 1000, 0))
@@ -495,6 +543,14 @@ def _(s, d):
     return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 5).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))
 
 
+@query("bidiagonal_small", "E G", f"SELECT CAST(8 AS BIGINT) AS n, round(sum(v * v), 6) AS squares FROM ({_S}) WHERE i < 8 AND j < 8")
+def _(s, d):
+    a = matrix.to_numpy(_scaled(s, d).where("i < 8 and j < 8"), (8, 8))
+    diagonal, over = kernels.bidiagonal(a)
+    rows = [(float(x),) for x in [*diagonal, *over]]
+    return s.createDataFrame(rows, "v double").agg(F.lit(8).cast("long").alias("n"), F.round(F.sum(F.col("v") * F.col("v")), 6).alias("squares"))
+
+
 @query("singular_values_tall", "", "SELECT round(sum(CAST(x AS DOUBLE) * x), 5) AS squares FROM (SELECT unnest(embedding) AS x FROM embeddings)")
 def _(s, d):
     found = factor.singular_values_tall(table(s, d, "embeddings"), F.col("embedding"), WIDTH)
@@ -577,6 +633,30 @@ def _(s, d):
     return program.flops(program.gemm_program(2, 3, 5).tasks(s), 96)
 
 
+_TASK = "CAST(stmt AS INTEGER) AS stmt, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k"
+
+
+@query("chol_children", "", f"SELECT {_TASK} FROM (SELECT 5 AS stmt, 2 AS i, 5 AS j, k FROM range(3, 6) t(k) UNION ALL SELECT 5, 2, j, 5 FROM range(6, 8) t(j))")
+def _(s, d):
+    return program.cholesky_program(8).children(s, stmt=4, i=2, j=5).select("stmt", "i", "j", "k")
+
+
+@query("chol_parents", "", f"SELECT {_TASK} FROM (VALUES (4, 2, 5, -1), (4, 2, 4, -1), (5, 1, 5, 4)) t(stmt, i, j, k)")
+def _(s, d):
+    return program.cholesky_program(8).parents(s, stmt=5, i=2, j=5, k=4).select("stmt", "i", "j", F.coalesce("k", F.lit(-1)).alias("k"))
+
+
+@query("edge_symmetry", "", "SELECT CAST(0 AS BIGINT) AS n")
+def _(s, d):
+    """Edges that one of parents and children lacks."""
+    p = program.qr_program(4)
+    writes = p.accesses(s, "writes").select(F.col("task").alias("parent"), "mat", "idx")
+    reads = p.accesses(s, "reads").select(F.col("task").alias("child"), "mat", "idx")
+    down = writes.join(reads, ["mat", "idx"]).select("parent", "child").distinct()
+    up = reads.join(writes, ["mat", "idx"]).select("parent", "child").distinct()
+    return down.exceptAll(up).unionByName(up.exceptAll(down)).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Intervals and streams
 
 

@@ -21,9 +21,14 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept where all executors can read it, so iterative plans stay short and survive losses."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of ``spark.checkpoint.dir``, and only where it is unset one of this machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilespark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept where all executors can read it, so iterative plans stay short and survive losses."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
