@@ -17,11 +17,11 @@ SUPPORT = 0.001
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, keep_rows``.
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are identical; null counts as empty. Of equal texts the row with the largest id stays;
-    null ids rank lowest, and of rows that repeat both id and text exactly one stays. ``keep_rows`` counts the rows that
-    have the staying row's id and text. An empty table gives an empty result; other columns are not looked at.
+    null ids rank lowest, and of rows that repeat both id and text exactly one stays. An empty table gives an empty result;
+    other columns are not looked at.
     """
     rows = checkpointed(
         docs.select(

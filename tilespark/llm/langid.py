@@ -98,7 +98,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     What reaches the driver is ``per_language`` presence vectors of 2 KB for each of at most ``MOST_LANGUAGES`` languages.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(id_col)).alias("draw"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("draw"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
