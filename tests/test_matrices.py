@@ -61,8 +61,10 @@ def test_factorisations(spark, n, tile):
     assert np.allclose(low, np.linalg.cholesky(a))
     r = dense(factor.qr(matrix.from_numpy(spark, x, (tile, tile)), meta, tiled=True), meta)
     assert np.allclose(r, np.triu(r)) and np.allclose(r.T @ r, x.T @ x)
-    band = dense(factor.bdfac(matrix.from_numpy(spark, x, (tile, tile)), meta), meta)
-    assert np.allclose(np.linalg.svd(band, compute_uv=False), np.linalg.svd(x, compute_uv=False))
+    for tiled in (True, False):
+        band = factor.bdfac(matrix.from_numpy(spark, x, (tile, tile)), meta, tiled=tiled)
+        assert all(0 <= r.bj - r.bi <= 1 for r in band.select("bi", "bj").collect())
+        assert np.allclose(np.linalg.svd(dense(band, meta), compute_uv=False), np.linalg.svd(x, compute_uv=False))
     b = rng.normal(size=(n, 2))
     found = factor.posv(tiles, meta, matrix.from_numpy(spark, b, (tile, 2)), tiled=True)
     assert np.allclose(dense(found, Meta((n, 2), (tile, 2))), np.linalg.solve(a, b))

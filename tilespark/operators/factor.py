@@ -262,7 +262,7 @@ def _turned(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(run, TILES)
 
 
-def bdfac(tiles: DataFrame, meta: Meta, truncate: int = 0) -> DataFrame:
+def bdfac(tiles: DataFrame, meta: Meta, truncate: int = 0, tiled: bool = False) -> DataFrame:
     """Block upper bidiagonal tiles with A's singular values: a QR of each block column, then an LQ of the block row.
 
     ``truncate`` stops that many steps early.
@@ -271,6 +271,8 @@ def bdfac(tiles: DataFrame, meta: Meta, truncate: int = 0) -> DataFrame:
     n = meta.n_blocks(0)
     if meta.shape[0] != meta.shape[1]:
         raise ValueError("square matrices only")
+    if meta.shape[0] <= MOST_ONE_TASK and not tiled:
+        return _whole(tiles, meta, lambda a: _band(a, meta.tile[0], n - truncate)).where(f"bj >= bi and bj <= bi + 1 and bi < {n - truncate}")
     left, out = cut_lineage(_dense(tiles, meta)), None
     for p in range(n - truncate):
         top, rest = _eliminate(left, p, p, n)
@@ -282,9 +284,22 @@ def bdfac(tiles: DataFrame, meta: Meta, truncate: int = 0) -> DataFrame:
     return out
 
 
-def singular_values(tiles: DataFrame, meta: Meta) -> DataFrame:
+def _band(a: np.ndarray, t: int, steps: int) -> np.ndarray:
+    """The same on a dense matrix."""
+    for p in range(0, steps * t, t):
+        q, r = np.linalg.qr(a[p:, p : p + t], mode="complete")
+        a[p:, p + t :] = q.T @ a[p:, p + t :]
+        a[p:, p : p + t] = r
+        if p + t < len(a):
+            q, r = np.linalg.qr(a[p : p + t, p + t :].T, mode="complete")
+            a[p + t :, p + t :] = a[p + t :, p + t :] @ q
+            a[p : p + t, p + t :] = r.T
+    return a
+
+
+def singular_values(tiles: DataFrame, meta: Meta, tiled: bool = False) -> DataFrame:
     """``k, v``, largest first: from the band that ``bdfac`` leaves, whose size is checked before it comes to the driver."""
-    band = to_numpy(to_cells(bdfac(tiles, meta), meta), meta.shape)
+    band = to_numpy(to_cells(bdfac(tiles, meta, tiled=tiled), meta), meta.shape)
     d, e = kernels.bidiagonal(band)
     s = np.linalg.svd(np.diag(d) + np.diag(e, 1), compute_uv=False)
     return tiles.sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "k long, v double")

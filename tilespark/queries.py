@@ -528,13 +528,19 @@ def _(s, d):
 
 @query("bdfac_frobenius", "E G", f"SELECT round(sum(v * v), 5) AS v FROM ({_S})")
 def _(s, d):
-    tiles = factor.bdfac(matrix.to_tiles(_scaled(s, d), SMALL), SMALL)
+    tiles = factor.bdfac(matrix.to_tiles(_scaled(s, d), SMALL), SMALL, tiled=True)
     return matrix.to_cells(tiles, SMALL).agg(F.round(F.sum(F.col("v") * F.col("v")), 5).alias("v"))
 
 
 @query("bdfac_band", "", "SELECT CAST(bi AS INTEGER) AS bi, CAST(bi + x AS INTEGER) AS bj FROM range(0, 4) a(bi), range(0, 2) b(x) WHERE bi + x < 4")
 def _(s, d):
-    return factor.bdfac(matrix.to_tiles(_scaled(s, d), SMALL), SMALL).select("bi", "bj")
+    return factor.bdfac(matrix.to_tiles(_scaled(s, d), SMALL), SMALL, tiled=True).select("bi", "bj")
+
+
+@query("bdfac_one_task", "E G", f"SELECT round(sum(v * v), 5) AS v FROM ({_S})")
+def _(s, d):
+    tiles = factor.bdfac(matrix.to_tiles(_scaled(s, d), RAGGED), RAGGED)
+    return matrix.to_cells(tiles, RAGGED).agg(F.round(F.sum(F.col("v") * F.col("v")), 5).alias("v"))
 
 
 @query("singular_values", "E G", f"SELECT CAST({WIDTH} AS BIGINT) AS n, round(sum(CASE WHEN i = j THEN v END), 5) AS total, round(sum(v * v), 5) AS squares FROM ({_S})")
