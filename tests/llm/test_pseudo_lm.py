@@ -10,9 +10,9 @@ def test_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     ids = rng.integers(1, 300, 60)
     bounds = np.array([0, 20, 20, 60])
-    places = np.arange(0, 60, 3)
-    context, words = lm.contexts(ids, bounds, places), ids[places]
-    _, g = net.log_probabilities(context, words, gradient=True)
+    wide, place = lm.spread(ids, bounds)
+    context, words = wide[place[::3, None] + lm.SHIFTS], ids[::3]
+    g = net.gradients(context, words)
     whole = np.zeros_like(net.p["embed"])
     whole[g["embed"][0]] = g["embed"][1]
     g["embed"] = whole
@@ -23,7 +23,7 @@ def test_gradients():
             losses = []
             for d in (1e-4, -1e-4):
                 net.p[k][at] = old + d
-                losses.append(-net.log_probabilities(context, words).mean())
+                losses.append(-net.log_probabilities(net.hidden(context), words).mean())
             net.p[k][at] = old
             assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(g[k][at], abs=1e-5)
 
@@ -31,12 +31,27 @@ def test_gradients():
 def test_probabilities_sum_to_one():
     net = lm.Network(1)
     context = np.tile(np.array([[1, 2, 3, 4, 5, 6]]), (lm.CLASSES * lm.CLASS_WORDS, 1))
-    assert np.exp(net.log_probabilities(context, np.arange(1, len(context) + 1))).sum() == pytest.approx(1, abs=1e-4)
+    assert np.exp(net.log_probabilities(net.hidden(context), np.arange(1, len(context) + 1))).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_contexts_stay_in_their_text():
-    found = lm.contexts(np.array([1, 2, 3, 4, 5]), np.array([0, 2, 2, 5]), np.arange(5))
+    wide, place = lm.spread(np.array([1, 2, 3, 4, 5]), np.array([0, 2, 2, 5]))
+    found = wide[place[:, None] + lm.SHIFTS]
     assert found.tolist() == [[0, 0, 0, 2, 0, 0], [0, 0, 1, 0, 0, 0], [0, 0, 0, 4, 5, 0], [0, 0, 3, 5, 0, 0], [0, 3, 4, 0, 0, 0]]
+    net = lm.Network(2)
+    assert np.allclose(net.running(wide)[place - lm.SIDE], net.hidden(found), atol=1e-6)
+
+
+def test_slices_are_encoded_like_copies():
+    import pyarrow as pa
+
+    texts = [f" Ünder  WORD{k % 7} the\tEnd\n" * (k % 5) for k in range(3000)]
+    words = lm.Words(["the", "end", "word3", "Ünder"])
+    for lo in (0, 17, 2950):
+        ids, bounds = words.encode(pa.array(texts).slice(lo, 50))
+        each = [words.encode(pa.array([t]))[0].tolist() for t in texts[lo : lo + 50]]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == each
+    assert words.encode(pa.array(["the END ünder Ünder"]))[0][[0, 1, 3]].tolist() == [65, 66, 68]
 
 
 def test_training_tells_order_from_noise(spark):
@@ -48,7 +63,7 @@ def test_training_tells_order_from_noise(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(3)
     words = lm.vocabulary(docs)
     assert set(cycle) <= set(words)
-    found = lm.score(docs, words, lm.train(docs, words, rounds=4)).collect()
+    found = lm.score(docs, words, lm.train(docs, words, rounds=6)).collect()
     assert len(found) == len(rows)
     by = {r.doc_id: r for r in found}
     assert by[0].mean_log_likelihood > by[100].mean_log_likelihood + 0.5

@@ -3,7 +3,7 @@
 A small network sees three words on either side of a place and predicts the word there: scaled embeddings are summed, a tanh
 follows, and a softmax over word classes, then over the words of a class, gives the word's probability. Every document
 gives its words: counts over the whole corpus make the vocabulary, and each partition trains on all its documents, with one
-word in seven masked; partitions' networks are averaged by their masked words, and the next round starts from the average.
+word in ten masked; partitions' networks are averaged by their masked words, and the next round starts from the average.
 A document's score is the sum of the log-probabilities of all its words, each predicted from both sides.
 """
 
@@ -19,16 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD, checkpointed, sliced, tree_sum
+from .util import checkpointed, sliced, tree_sum
 
 CLASSES = 64
 CLASS_WORDS = 64
 RARE = 64  # ids of words beyond the vocabulary, by hash
 SIDE = 3
+SHIFTS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 WIDTH = 32
-MASKED = 1 / 7
+MASKED = 0.1
 ROUNDS = 2
-BATCH = 2048
+BATCH = 4096
 RATE = 0.1
 BLOCKS = 16
 SLICE_BYTES = 4 << 20
@@ -61,31 +62,37 @@ class Network:
             total += self.p["embed"][context[:, k]] * self.p["scale"][k]
         return np.tanh(total)
 
-    def log_probabilities(self, context: np.ndarray, words: np.ndarray, gradient: bool = False):
-        """Of each word; with ``gradient`` also the parameters' gradients of the mean log-probability's negative."""
+    def running(self, wide: np.ndarray) -> np.ndarray:
+        """``hidden`` at every place of ``wide`` but the first and last ``SIDE``: one look-up a word, then shifted sums."""
+        embedded, n = self.p["embed"][wide], len(wide) - 2 * SIDE
+        total = np.repeat(self.p["bias"][None], n, 0)
+        for k, shift in enumerate(SHIFTS):
+            total += embedded[SIDE + shift : SIDE + shift + n] * self.p["scale"][k]
+        return np.tanh(total, out=total)
+
+    def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of each word, from the hidden values at its place."""
+        kind, inner = np.divmod(words - 1, CLASS_WORDS)
+        score = _log_softmax(h @ self.p["class_w"].T + self.p["class_b"], kind)
+        for c, rows in _by_class(kind):
+            score[rows] += _log_softmax(h[rows] @ self.p["word_w"][c].T + self.p["word_b"][c], inner[rows])
+        return score
+
+    def gradients(self, context: np.ndarray, words: np.ndarray) -> dict:
+        """Of the mean log-probability's negative. Those of ``embed`` are (ids, rows)."""
         p, n = self.p, len(words)
         h = self.hidden(context)
         kind, inner = np.divmod(words - 1, CLASS_WORDS)
-        logits = h @ p["class_w"].T + p["class_b"]
-        soft, score = _softmax(logits, kind)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        if gradient:
-            soft[np.arange(n), kind] -= 1
-            g = {"class_w": soft.T @ h / n, "class_b": soft.mean(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
-            back = soft @ p["class_w"]
-        for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if not len(rows):
-                continue
-            part, more = _softmax(h[rows] @ p["word_w"][c].T + p["word_b"][c], inner[rows])
-            score[rows] += more
-            if gradient:
-                part[np.arange(len(rows)), inner[rows]] -= 1
-                g["word_w"][c], g["word_b"][c] = part.T @ h[rows] / n, part.sum(0) / n
-                back[rows] += part @ p["word_w"][c]
-        if not gradient:
-            return score
+        soft = _softmax(h @ p["class_w"].T + p["class_b"])
+        soft[np.arange(n), kind] -= 1
+        g = {"class_w": soft.T @ h / n, "class_b": soft.mean(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+        back = soft @ p["class_w"]
+        for c, rows in _by_class(kind):
+            own = h[rows]
+            part = _softmax(own @ p["word_w"][c].T + p["word_b"][c])
+            part[np.arange(len(rows)), inner[rows]] -= 1
+            g["word_w"][c], g["word_b"][c] = part.T @ own / n, part.sum(0) / n
+            back[rows] += part @ p["word_w"][c]
         back *= (1 - h * h) / n
         g["bias"] = back.sum(0)
         g["scale"] = np.stack([(back * p["embed"][context[:, k]]).sum(0) for k in range(2 * SIDE)])
@@ -94,14 +101,29 @@ class Network:
         by = np.argsort(flat, kind="stable")
         ids, first = np.unique(flat[by], return_index=True)
         g["embed"] = (ids, np.add.reduceat(each[by], first, axis=0))
-        return score, g
+        return g
+
+
+def _by_class(kind: np.ndarray):
+    """Each class that occurs, with its rows."""
+    order = np.argsort(kind.astype(np.int16), kind="stable")
+    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        if bounds[c] < bounds[c + 1]:
+            yield c, order[bounds[c] : bounds[c + 1]]
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1, keepdims=True)
-    return e / total, logits[np.arange(len(at)), at] - np.log(total[:, 0])
+    own = logits[np.arange(len(at)), at]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
 
 
 class Trainer:
@@ -112,8 +134,7 @@ class Trainer:
         self.seen = {k: np.full(s, 1e-4, np.float32) for k, s in Network.SIZES.items()}
 
     def step(self, context: np.ndarray, words: np.ndarray) -> None:
-        _, g = self.network.log_probabilities(context, words, gradient=True)
-        for k, v in g.items():
+        for k, v in self.network.gradients(context, words).items():
             rows = slice(None)
             if k == "embed":
                 rows, v = v
@@ -121,37 +142,53 @@ class Trainer:
             self.network.p[k][rows] -= self.rate * v / np.sqrt(self.seen[k][rows])
 
 
-def contexts(ids: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Ids around each place; 0 for what lies beyond its text."""
-    at = places[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-    text = np.searchsorted(bounds, places, "right") - 1
-    inside = (at >= bounds[text][:, None]) & (at < bounds[text + 1][:, None])
-    return np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], 0)
+def spread(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``SIDE`` zeros before, between and after the texts, and where each id has come to lie."""
+    place = np.arange(len(ids)) + np.repeat(SIDE * np.arange(1, len(bounds)), np.diff(bounds))
+    wide = np.zeros(len(ids) + SIDE * len(bounds), ids.dtype)
+    wide[place] = ids
+    return wide, place
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space, which of them each word is, and where each text's begin.
+
+    ASCII letters are lower-cased, which may make distinct words equal. Texts with white space at an end have empty words.
+    Arrow's string functions misread slices of large arrays, so the texts are copied out first.
+    """
+    split = pc.ascii_split_whitespace(texts.take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string()))
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    lower = [w.lower() for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]  # of bytes, so ASCII letters only
+    return lower, coded.indices.to_numpy(), bounds - bounds[0]
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", most: int = CLASSES * CLASS_WORDS - RARE) -> list[str]:
     """The words that occur most in all texts, by count, then by word. Counting is distributed; ``most`` words are collected."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = F.regexp_extract_all(F.translate(F.col(text_col).cast("string"), upper, upper.lower()), F.lit(WORD), F.lit(0))
-    counts = docs.select(F.explode(words).alias("word")).groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, 0):
+                lower, codes, _ = words_of(batch.column(0))
+                n = np.bincount(codes, minlength=len(lower))
+                kept = [k for k, w in enumerate(lower) if w]
+                yield pa.RecordBatch.from_pydict({"word": pa.array([lower[k] for k in kept], pa.binary()).cast(pa.string()), "n": pa.array(n[kept], pa.int64())})
+
+    counts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 class Words:
     """Texts to ids."""
 
     def __init__(self, words: list[str]):
-        self.id = {w: k for k, w in enumerate(words, 1 + RARE)}
+        self.id = {w.encode(): k for k, w in enumerate(words, 1 + RARE)}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        words = split.values.slice(bounds[0], bounds[-1] - bounds[0])
-        bounds = bounds - bounds[0]
-        # White space at a text's ends leaves empty words; they are no words.
-        coded = words.dictionary_encode()
-        ids = np.array([0 if not w else self.id.get(w) or 1 + zlib.crc32(w.encode()) % RARE for w in coded.dictionary.to_pylist()] or [0], np.int32)
-        flat = ids[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int32)
+        """Ids of all words of all texts, and where each text's begin (one more entry than texts)."""
+        lower, codes, bounds = words_of(texts)
+        ids = np.array([0 if not w else self.id.get(w) or 1 + zlib.crc32(w) % RARE for w in lower] or [0], np.int32)
+        flat = ids[codes] if len(codes) else np.empty(0, np.int32)
         real = np.concatenate([[0], np.cumsum(flat > 0)])
         return flat[flat > 0], real[bounds]
 
@@ -172,11 +209,12 @@ def train(docs: DataFrame, words: list[str], text_col: str = "text", rounds: int
                         part = batch.column(1)[0].as_py()
                         rng = np.random.default_rng([seed, r, part])
                     ids, bounds = encoder.encode(batch.column(0))
-                    places = np.flatnonzero(rng.random(len(ids)) < MASKED)
+                    wide, places = spread(ids, bounds)
+                    places = places[rng.random(len(ids)) < MASKED]
                     rng.shuffle(places)
                     for lo in range(0, len(places), BATCH):
                         some = places[lo : lo + BATCH]
-                        trainer.step(contexts(ids, bounds, some), ids[some])
+                        trainer.step(wide[some[:, None] + SHIFTS], wide[some])
                     done += len(places)
             if done:
                 values = np.array_split(trainer.network.flat().astype(np.float64) * done, BLOCKS)
@@ -211,10 +249,13 @@ def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "do
         for whole in batches:
             for batch in sliced(whole, 1, SLICE_BYTES):
                 ids, bounds = encoder.encode(batch.column(1))
-                each = np.zeros(len(ids))
-                for lo in range(0, len(ids), PLACES):
-                    places = np.arange(lo, min(len(ids), lo + PLACES))
-                    each[lo : lo + len(places)] = net.log_probabilities(contexts(ids, bounds, places), ids[places])
+                wide, place = spread(ids, bounds)
+                each = np.zeros(len(wide))
+                for lo in range(SIDE, len(wide) - SIDE, PLACES):
+                    part = wide[lo - SIDE : lo + PLACES + SIDE]
+                    words_at = np.flatnonzero(part[SIDE : len(part) - SIDE])
+                    each[lo + words_at] = net.log_probabilities(net.running(part)[words_at], part[SIDE + words_at])
+                each = each[place]
                 n = np.diff(bounds)
                 total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
                 yield pa.RecordBatch.from_pydict(
