@@ -21,19 +21,19 @@ from pyspark.sql import functions as F
 
 from .util import checkpointed, sliced, tree_sum
 
-CLASSES = 64
+CLASSES = 32
 CLASS_WORDS = 64
 RARE = 64  # ids of words beyond the vocabulary, by hash
 SIDE = 3
 SHIFTS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-WIDTH = 32
+WIDTH = 24
 MASKED = 0.1
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.1
 BLOCKS = 16
 SLICE_BYTES = 4 << 20
-PLACES = 1 << 16
+PLACES = 1 << 13
 
 
 class Network:
@@ -253,8 +253,7 @@ def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "do
                 each = np.zeros(len(wide))
                 for lo in range(SIDE, len(wide) - SIDE, PLACES):
                     part = wide[lo - SIDE : lo + PLACES + SIDE]
-                    words_at = np.flatnonzero(part[SIDE : len(part) - SIDE])
-                    each[lo + words_at] = net.log_probabilities(net.running(part)[words_at], part[SIDE + words_at])
+                    each[lo : lo + PLACES][: len(part) - 2 * SIDE] = net.log_probabilities(net.running(part), np.maximum(part[SIDE : len(part) - SIDE], 1))
                 each = each[place]
                 n = np.diff(bounds)
                 total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
