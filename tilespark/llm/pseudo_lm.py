@@ -30,6 +30,7 @@ WIDTH = 24
 MASKED = 0.1
 ROUNDS = 2
 BATCH = 4096
+GATHERED = 16
 RATE = 0.1
 BLOCKS = 16
 SLICE_BYTES = 4 << 20
@@ -175,6 +176,16 @@ def vocabulary(docs: DataFrame, text_col: str = "text", most: int = CLASSES * CL
                 yield pa.RecordBatch.from_pydict({"word": pa.array([lower[k] for k in kept], pa.binary()).cast(pa.string()), "n": pa.array(n[kept], pa.int64())})
 
     counts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def first(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for f in frames:
+            best = pd.concat([best, f]).sort_values(["n", "word"], ascending=[False, True]).head(most)
+        if best is not None:
+            yield best
+
+    # Each partition's first words, gathered in a few, so that what reaches the driver doesn't grow with the partitions.
+    counts = counts.mapInPandas(first, "word string, n long").repartition(GATHERED)
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
