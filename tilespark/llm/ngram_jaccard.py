@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import WORD, checkpointed, sliced, tree_sum, written
+from .util import WORD, checkpointed, release, sliced, tree_sum, written
 
 WORDS = 5
 SIMILARITY = (80, 100)
@@ -33,6 +33,7 @@ SKETCH_BITS = 20
 CHUNK_BITS = 16
 PARTS = 64
 BITMAP_BITS = 20
+SLICE_BYTES = 1 << 20
 
 _TABLE = np.random.default_rng(2024).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -93,7 +94,7 @@ def needed(n: np.ndarray | int, similarity=SIMILARITY):
 
 
 def _runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in sliced(batch, column, 4 << 20):
+    for part in sliced(batch, column, SLICE_BYTES):
         yield part, shingles([b or b"" for b in part.column(column).cast(pa.large_binary()).to_pylist()])
 
 
@@ -204,18 +205,21 @@ class JaccardJoin:
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
         self.rows, level = _sets(docs, id_col, text_col)
         whole = written(_classes(docs, id_col, text_col, level, similarity))
-        self.classes = whole.table.select("key", "set_key", "n", "rep", "least_id", "least_text")
-        self.parts = whole.table.select("key", "n", "parts")
         postings = written(self._postings(whole.table))
-        self.postings = postings.table
+        slim = written(whole.table.drop("prefix"))
+        whole.drop()
+        self.classes, self.postings = slim.table, postings.table
+        release(docs.sparkSession)
         first = checkpointed(self._near_pairs())
         links = self._verified(first)
-        found = connected_components(links)
-        more = checkpointed(self._pairs_across(found).join(first, ["a", "b"], "left_anti"))
+        release(docs.sparkSession)
+        lists = written(self._lists(connected_components(links)))
+        more = checkpointed(self._pairs_across(lists.table).join(first, ["a", "b"], "left_anti"))
+        lists.drop()
+        postings.drop()
         self.links = checkpointed(links.unionByName(self._verified(more)))
+        release(docs.sparkSession)
         self.components = connected_components(self.links)
-        postings.drop()
-        self._whole = whole
 
     def _postings(self, classes: DataFrame) -> DataFrame:
         """``token, key, n, place, shared``: prefix shingles that two classes have at least."""
@@ -229,20 +233,22 @@ class JaccardJoin:
         """Of each posting list a star around its most central member and a chain by size, where the filters pass."""
         own = (F.col("place") - F.col("shared")) / F.col("n")
         by_size = Window.partitionBy("token").orderBy("n", "key")
-        me = F.struct("key", "n", "place", "shared")
-        hubs = self.postings.groupBy("token").agg(F.min_by(me, F.struct(own.alias("own"), F.col("key"))).alias("hub"))
-        chain = self.postings.withColumn("hub", F.lag(me).over(by_size)).where("hub is not null")
-        star = self.postings.join(hubs, "token").select(*chain.columns)
-        out = []
-        for table in (star, chain):
-            sides = table.select(*[F.col(c).alias(f"x_{c}") for c in ("key", "n", "place", "shared")], *[F.col(f"hub.{c}").alias(f"y_{c}") for c in ("key", "n", "place", "shared")])
-            out.append(sides.where("x_key != y_key").where(_may_link("x_", "y_", self.similarity)).select(*_pairs("x_", "y_")))
-        return self._suffix_filtered(out[0].unionByName(out[1]).distinct())
+        whole_list = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        names = ("key", "n", "place", "shared")
+        me = F.struct(*names)
+        hub = F.min_by(me, F.struct(own.alias("own"), F.col("key"))).over(whole_list)
+        met = self.postings.select(*names, F.array(hub, F.lag(me).over(by_size)).alias("others"))
+        met = met.select(*[F.col(c).alias(f"x_{c}") for c in names], F.explode("others").alias("y")).where("y.key != x_key")
+        met = met.select("*", *[F.col(f"y.{c}").alias(f"y_{c}") for c in names])
+        return self._suffix_filtered(met.where(_may_link("x_", "y_", self.similarity)).select(*_pairs("x_", "y_")).distinct())
+
+    def _lists(self, components: DataFrame) -> DataFrame:
+        """The postings with the component of their class."""
+        lists = self.postings.join(components, self.postings["key"] == components["node"], "left").drop("node")
+        return lists.withColumn("component", F.coalesce("component", "key"))
 
-    def _pairs_across(self, components: DataFrame) -> DataFrame:
+    def _pairs_across(self, lists: DataFrame) -> DataFrame:
         """Pairs of different components on one posting list, each with a member outside the list's largest component."""
-        lists = self.postings.join(components, self.postings["key"] == components["node"], "left").drop("node")
-        lists = checkpointed(lists.withColumn("component", F.coalesce("component", "key")))
         sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").drop("components")
         names = ("token", "key", "n", "place", "shared", "component")
@@ -254,8 +260,8 @@ class JaccardJoin:
 
     def _suffix_filtered(self, pairs: DataFrame) -> DataFrame:
         p, q = self.similarity
-        x = self.parts.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
-        y = self.parts.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
+        x = self.classes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
+        y = self.classes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
         overlap = F.aggregate(F.zip_with("parts_a", "parts_b", lambda v, w: F.least(v, w)), F.lit(0), lambda s, v: s + v)
         return pairs.join(x, "a").join(y, "b").where(F.lit(p + q) * overlap >= F.lit(p) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
@@ -276,7 +282,7 @@ class JaccardJoin:
 
         def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in sliced(batch, 2, 4 << 20):
+                for part in sliced(batch, 2, SLICE_BYTES):
                     x = shingles([b or b"" for b in part.column(2).cast(pa.large_binary()).to_pylist()])
                     y = shingles([b or b"" for b in part.column(3).cast(pa.large_binary()).to_pylist()])
                     good = []

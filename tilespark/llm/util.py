@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +35,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """A checkpointed table of narrow rows, to be broadcast if it has few; beyond that Spark shuffles as usual."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 class Written:
     """A table written as Parquet under the shared checkpoint folder."""
 
@@ -65,6 +71,12 @@ def sliced(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator
         lo = hi
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished phases now: it acts when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tree_sum(parts: DataFrame, add: Callable[[list[bytes]], bytes], merge: int = 16) -> DataFrame:
     """Rows ``part, chunk, packed``: of each chunk one, the sum over all parts. No task adds more than ``merge`` of them."""
 
