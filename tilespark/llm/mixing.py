@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WORD, checkpointed
+from .util import WORD, broadcast_if_small, checkpointed
 
 BLOCK_WORDS = 2048
 LEAST_BLOCKS = 64
@@ -124,7 +124,7 @@ def mix_plan(
     sized = checkpointed(rows.drop("row"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = checkpointed(sources.withColumn("shards", F.ceil(F.col("rows") / F.lit(shard_rows)).cast("long")))
-    n_shards = sources.select(F.col("source").alias("s_source"), "shards")
+    n_shards = broadcast_if_small(sources.select(F.col("source").alias("s_source"), "shards"))
 
     def dealt(table: DataFrame) -> DataFrame:
         out = table.join(n_shards, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
@@ -156,7 +156,7 @@ def mix_plan(
     place = Window.partitionBy("source", "shard").orderBy(_hash(seed + 2, F.col("doc_id"), F.col("text_key")), "doc_id", "text_key", "size")
     laid = dealt(rows if carry else sized)
     laid = laid.withColumn("begins", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = laid.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+    placed = laid.join(broadcast_if_small(quotas), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     taken = _taken_before(F.col("begins") + F.col("size")) - _taken_before(F.col("begins"))
     return placed.select(
         "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"),
