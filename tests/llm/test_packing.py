@@ -20,19 +20,40 @@ MESSY = [
 
 def test_ids_equal_the_tokenizer_on_whole_texts():
     texts = [t or "" for t in MESSY]
-    ids, begins = packing.WordTokens(packing.tokenizer_path()).encode(pa.array(texts), 2)
-    whole = Tokenizer.from_file(packing.tokenizer_path())
-    for t, lo, hi in zip(texts, begins[:-1], begins[1:]):
-        assert ids[lo:hi].tolist() == whole.encode(t, add_special_tokens=False).ids + [2], t
+    found = packing.WordTokens(packing.tokenizer_path()).encode(pa.array(texts), 2)
+    for t, ids in zip(texts, found):
+        assert ids.tolist() == WHOLE.encode(t, add_special_tokens=False).ids + [2], t
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.text(st.sampled_from("aAéÉßİǄſ'sStTlL.,!? 9½³<|>~\u0301\u0331\u00a0\u0085\x1c\tΣσΩ日"), max_size=30))
 def test_ids_of_odd_texts(text):
-    ids, _ = packing.WordTokens.of(packing.tokenizer_path()).encode(pa.array([text]), 2)
+    ids = packing.WordTokens.of(packing.tokenizer_path()).encode(pa.array(["first", text, "last"]), 2)[1]
     assert ids.tolist() == WHOLE.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_ids_of_contractions():
+    texts = ["it's 's ''s ?'s 'sx 'rex 'll'd they'RE 'v 'l 'r don't'", "'", "s'", "x'9's", "À'S'É", "a1b22 3'd4", "¿Qué? «œuvre» Œ ß ÿ 5°"]
+    for t, ids in zip(texts, packing.WordTokens.of(packing.tokenizer_path()).encode(pa.array(texts), 2)):
+        assert ids.tolist() == WHOLE.encode(t, add_special_tokens=False).ids + [2], t
+
+
+def test_slices_are_encoded_like_copies():
+    texts = [t or "" for t in MESSY] * 40
+    words = packing.WordTokens.of(packing.tokenizer_path())
+    whole = words.encode(pa.array(texts), 2)
+    for lo in (1, 300):
+        assert [x.tolist() for x in words.encode(pa.array(texts).slice(lo, 90), 2)] == [x.tolist() for x in whole[lo : lo + 90]]
+
+
+def test_ids_of_documents():
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    for t, ids in zip(texts, packing.WordTokens.of(packing.tokenizer_path()).encode(pa.array(texts), 2)):
+        assert ids.tolist() == WHOLE.encode(t, add_special_tokens=False).ids + [2]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_pieces_cover_each_document_once(spark, parts):
     texts = MESSY + ["word " * k for k in (1, 5, 60, 61, 62, 130, 400)] * 3

@@ -27,7 +27,7 @@ RIDGE = 1e-3
 SHARPNESS = 8.0
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def presence(texts: list[bytes], bits: int = BITS) -> np.ndarray:
@@ -54,7 +54,7 @@ def normalised(seen: np.ndarray) -> np.ndarray:
     return x / np.maximum(1.0, np.sqrt(x.sum(1, keepdims=True)))
 
 
-def _slices(texts: list[str], most: int = SLICE_BYTES, rows: int = 256) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[str], most: int = SLICE_BYTES, rows: int = 64) -> Iterator[tuple[int, list[bytes]]]:
     """Lower-cased texts as bytes, in runs of about ``most`` bytes."""
     run: list[bytes] = []
     lo = size = 0

@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +28,7 @@ MERGE_PARTITIONS = 16
 END_ID = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHED_WORDS = 1 << 19
-
-#: How the tokenizer cuts lower-cased text into parts, and the characters for which that is done here: those
-#: before U+0250 but white space and controls, which have no combining marks to normalise.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile("[!-~\u00a1-\u024f]*")
-
+SLICE_BYTES = 1 << 20
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -46,7 +40,8 @@ class WordTokens:
     """Ids of whole texts through a cache of their words.
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of its words between ASCII white
-    space, laid end to end. Each distinct word of a slice is looked up once; a full cache is emptied between slices.
+    space, laid end to end. Plain texts (``plain_parts``) are cut further, as the tokenizer itself cuts them, in one pass
+    over all bytes. Each distinct word of a slice is looked up once; a full cache is emptied between slices.
     """
 
     kept: dict[str, WordTokens] = {}
@@ -63,61 +58,133 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[k for name, k in names.items() if name.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 20, np.uint32)
         self.used = 0
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words. Latin words are cut as the tokenizer cuts them, so that ``word`` and ``Word,`` share their part."""
-        cut = [PARTS.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else [w] for w in words]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.parts))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[part] = found.ids
-        flat: list[int] = []
-        sizes = []
-        for word, parts in zip(words, cut):
-            self.place[word] = len(self.place)
-            before = len(flat)
-            for p in parts:
-                flat += self.parts[p]
-            sizes.append(len(flat) - before)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum([0, *sizes])[:-1].astype(np.int64)])
-        self.used += len(flat)
-
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by ``end_id``, and where each text's begin (one more entry than texts)."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        words = split.values.slice(bounds[0], bounds[-1] - bounds[0])
-        bounds = bounds - bounds[0]
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) > CACHED_WORDS:
+    def learn(self, words: list[str], parts: bool) -> None:
+        """Ids of new words. Words that are one part each end in an id that ends a word, so many are encoded as one text."""
+        for lo in range(0, len(words), 20_000):
+            some = words[lo : lo + 20_000]
+            if parts:
+                ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+                edges = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+                if len(edges) != len(some) + 1:
+                    raise ValueError("a part is not one word to the tokenizer")
+            else:
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                edges = np.cumsum([0, *map(len, found)])
+                ids = np.fromiter((k for x in found for k in x), np.uint32, edges[-1])
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some))))
+            self.starts = np.concatenate([self.starts, self.used + edges[:-1]])
+            self.sizes = np.concatenate([self.sizes, np.diff(edges)])
+            self.used += len(ids)
+
+    def _encoded(self, coded: pa.DictionaryArray, bounds: np.ndarray, end_id: int, parts: bool) -> list[np.ndarray]:
+        distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
+        if len(self.place) + len(distinct) > CACHED_WORDS:
             self.forget()
-        self.learn([w for w in distinct if w not in self.place])
-        rows = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))
-        starts, sizes = self.starts[rows], self.sizes[rows]
+        self.learn([w for w in distinct if w not in self.place], parts)
+        rows = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         codes = coded.indices.to_numpy()
-        lengths = sizes[codes] if len(codes) else np.empty(0, np.int64)
+        rows = rows[codes] if len(codes) else np.empty(0, np.int64)
+        lengths = self.sizes[rows]
         before = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(starts[codes] - before[:-1], lengths) + np.arange(before[-1]) if len(codes) else np.empty(0, np.int64)
+        source = np.repeat(self.starts[rows] - before[:-1], lengths) + np.arange(before[-1])
         begins = before[bounds] + np.arange(len(bounds))
         out = np.full(begins[-1], end_id, np.uint32)
         inside = np.ones(len(out), bool)
         inside[begins[1:] - 1] = False
         out[inside] = self.ids[source]
-        return out, begins
+        return [out[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text, ``end_id`` after them."""
+        plain, parts, bounds = plain_parts(texts)
+        out: list = [None] * len(texts)
+        for k, ids in zip(np.flatnonzero(plain).tolist(), self._encoded(parts.dictionary_encode(), bounds, end_id, True)):
+            out[k] = ids
+        if not plain.all():
+            split = pc.ascii_split_whitespace(texts.filter(pa.array(~plain)).cast(pa.large_string()))
+            bounds = split.offsets.to_numpy().astype(np.int64)
+            words = split.values.slice(bounds[0], bounds[-1] - bounds[0])
+            for k, ids in zip(np.flatnonzero(~plain).tolist(), self._encoded(words.dictionary_encode(), bounds - bounds[0], end_id, False)):
+                out[k] = ids
+        return out
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each ASCII byte and of each pair of bytes: 0 white space, 1 letter, 2 digit, 3 other, 9 not plain."""
+    one = np.full(256, 9, np.uint8)
+    one[[9, 10, 11, 12, 13, 32]] = 0
+    one[33:127] = 3
+    one[48:58] = 2
+    one[65:91] = one[97:123] = 1
+    two = np.full(1 << 16, 9, np.uint8)
+    for code in (*range(0xC0, 0x100), 0x152, 0x153):
+        if code not in (0xD7, 0xF7):
+            two[int.from_bytes(chr(code).encode(), "big")] = 1
+    for code in (0xA1, 0xA7, 0xAB, 0xB0, 0xB7, 0xBB, 0xBF):
+        two[int.from_bytes(chr(code).encode(), "big")] = 3
+    return one, two
+
+
+#: By rule: ASCII but controls; Latin-1 letters and the oe ligature; some Latin-1 signs. None of these is changed by
+#: normalising, has combining marks, or is white space to the tokenizer.
+ONE, TWO = _classes()
+_DOWN = np.arange(256, dtype=np.uint8)
+_DOWN[65:91] += 32
+
+
+def plain_parts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Which texts are plain; the lower-cased parts of these, as the tokenizer cuts them; and where each text's begin.
+
+    Parts are runs of letters, single digits, runs of other signs, and English contractions where an apostrophe begins a run.
+    """
+    raw = [b for b in texts.cast(pa.large_binary()).to_pylist()]
+    data = np.frombuffer(b" ".join([*raw, b""]) + b"    ", np.uint8)
+    ends = np.cumsum([len(b) + 1 for b in raw])
+    kind = ONE[data]
+    high = np.flatnonzero(data >= 0x80)
+    lead = high[data[high] >= 0xC0]
+    pair = TWO[data[lead].astype(np.int32) << 8 | data[lead + 1]]
+    kind[lead] = kind[lead + 1] = pair
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # the start of a control string
+    bad = np.concatenate([np.flatnonzero(kind == 9), special])
+    plain = np.ones(len(raw), bool)
+    plain[np.searchsorted(ends, bad, "right")] = False
+    for k in np.flatnonzero(~plain).tolist():
+        kind[ends[k] - len(raw[k]) - 1 : ends[k]] = 0
+    low = _DOWN[data]
+    latin = lead[(data[lead] == 0xC3) & (data[lead + 1] < 0x9F)]
+    low[latin + 1] += 0x20
+    low[lead[(data[lead] == 0xC5) & (data[lead + 1] == 0x92)] + 1] += 1
+    before = np.concatenate([[0], kind[:-1]])
+    start = (kind != 0) & ((kind != before) | (kind == 2))
+    start[lead + 1] = False
+    quote = np.flatnonzero((low == 39) & start)
+    a, b = low[quote + 1], low[quote + 2]
+    short = quote[(a == 115) | (a == 116) | (a == 109) | (a == 100)]  # 's 't 'm 'd
+    long = quote[((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108))]  # 're 've 'll
+    start[short + 1] = start[long + 1] = False
+    start[short + 2] |= kind[short + 2] == 1
+    start[long + 3] |= kind[long + 3] == 1
+    at = np.flatnonzero(start)
+    kept = kind != 0
+    offsets = np.concatenate([(np.cumsum(kept, dtype=np.int32) - kept)[at], [np.count_nonzero(kept)]]).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(low[kept].tobytes())])
+    bounds = np.searchsorted(at, ends)[plain]
+    return plain, parts, np.concatenate([[0], bounds])
 
 
 class OpenWindows:
@@ -201,16 +268,15 @@ def pack_documents(
             emitted += 1
 
         for whole in batches:
-            for batch in sliced(whole, 1):
+            for batch in sliced(whole, 1, SLICE_BYTES):
                 part = batch.column(2)[0].as_py()
-                ids, begins = tokens.encode(batch.column(1), end_id)
-                for doc_id, lo, hi in zip(batch.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist()):
-                    n = hi - lo
+                for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1), end_id)):
+                    n = len(ids)
                     edge = n - n % window
                     for at in range(0, edge, window):
-                        emit([(doc_id, at, ids[lo + at : lo + at + window], n)])
+                        emit([(doc_id, at, ids[at : at + window], n)])
                     if edge < n:
-                        for full in windows.put((doc_id, edge, ids[lo + edge : hi].copy(), n), n - edge):
+                        for full in windows.put((doc_id, edge, ids[edge:].copy(), n), n - edge):
                             emit(full)
                 yield from _batches(out.take(5_000))
         for pieces in windows.pieces.values():
