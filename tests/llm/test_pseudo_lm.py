@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -75,3 +77,26 @@ def test_training_tells_order_from_noise(spark):
 
 def test_empty_table(spark):
     assert lm.score_corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_vocabulary_grows_with_the_distinct_words(spark):
+    assert lm.vocabulary_size(0) == lm.vocabulary_size(400_000) == 4032
+    assert lm.vocabulary_size(10**6) < lm.vocabulary_size(10**7) < lm.vocabulary_size(10**9)
+    assert all(lm.side_of(lm.vocabulary_size(n)) ** 2 - lm.RARE == lm.vocabulary_size(n) for n in (0, 10**6, 10**7, 10**9))
+    docs = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(5000)))], "doc_id long, text string")
+    assert len(lm.vocabulary(docs)) == 4032
+    words = lm.vocabulary(docs, most=5000)
+    assert len(words) == 5000 and len(lm.score(docs, words, lm.train(docs, words)).collect()) == 1
+
+
+def test_rare_words_have_shares_of_their_id(spark):
+    pools = {}
+    for k in range(2000):
+        pools.setdefault(zlib.crc32(b"w%d" % k) % lm.RARE, []).append(f"w{k}")
+    a, b, c = next(iter(pools.values()))[:3]
+    texts = [a, b, c, f"{a.upper()} {a}\t{b}", None, "", f" {a} {b} {a} "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    by = {r.doc_id: r for r in lm.score(docs, [], lm.Network(1)).collect()}
+    assert by[0].log_likelihood - by[1].log_likelihood == pytest.approx(np.log(5 / 3), abs=1e-4)
+    assert sum(np.exp(by[k].log_likelihood) for k in range(3)) == pytest.approx(np.exp(by[0].log_likelihood) * 9 / 5, rel=1e-3)
+    assert by[3].log_likelihood == pytest.approx(by[6].log_likelihood, abs=1e-4) and by[4].mean_log_likelihood is None

@@ -5,10 +5,14 @@ follows, and a softmax over word classes, then over the words of a class, gives
 gives its words: counts over the whole corpus make the vocabulary, and each partition trains on all its documents, with one
 word in ten masked; partitions' networks are averaged by their masked words, and the next round starts from the average.
 A document's score is the sum of the log-probabilities of all its words, each predicted from both sides.
+
+The vocabulary grows with the corpus: about ``6.25 sqrt(distinct words)`` words, 4032 at least. Words beyond it share ids by
+hash; the network predicts the id, and the word's share of its id's count, from a distributed table, is its probability there.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,14 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import checkpointed, sliced, tree_sum
+from .util import checkpointed, sliced, tree_sum, written
 
-CLASSES = 32
+#: Least number of classes and of words in each; both grow with the vocabulary.
+CLASSES = 64
 CLASS_WORDS = 64
+GROWTH = 2.5
 RARE = 64  # ids of words beyond the vocabulary, by hash
 SIDE = 3
 SHIFTS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-WIDTH = 24
+WIDTH = 32
 MASKED = 0.1
 ROUNDS = 2
 BATCH = 4096
@@ -37,22 +43,34 @@ SLICE_BYTES = 4 << 20
 PLACES = 1 << 13
 
 
+def side_of(words: int) -> int:
+    """Classes, and words in a class, that hold so many words and the rare ids."""
+    return max(CLASSES, math.isqrt(words + RARE - 1) + 1)
+
+
+def vocabulary_size(distinct: int) -> int:
+    """Words of the vocabulary of a corpus of so many distinct ones."""
+    return max(CLASSES, math.ceil(GROWTH * distinct**0.25)) ** 2 - RARE
+
+
 class Network:
-    """Parameters by name; ids 1 to ``CLASSES * CLASS_WORDS`` are words, 0 is what lies beyond a text's ends."""
+    """Parameters by name; ids 1 to ``side * side`` are words, 0 is what lies beyond a text's ends."""
 
-    SIZES = {"embed": (CLASSES * CLASS_WORDS + 1, WIDTH), "scale": (2 * SIDE, WIDTH), "bias": (WIDTH,), "class_w": (CLASSES, WIDTH), "class_b": (CLASSES,), "word_w": (CLASSES, CLASS_WORDS, WIDTH), "word_b": (CLASSES, CLASS_WORDS)}
+    SIZES = ("embed", "scale", "bias", "class_w", "class_b", "word_w", "word_b")
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, seed: int = 1, side: int = CLASSES):
         rng = np.random.default_rng(seed)
-        self.p = {k: (rng.normal(0, 0.1, s) if k in ("embed", "class_w", "word_w") else np.ones(s) if k == "scale" else np.zeros(s)).astype(np.float32) for k, s in self.SIZES.items()}
+        self.side = side
+        self.sizes = {"embed": (side * side + 1, WIDTH), "scale": (2 * SIDE, WIDTH), "bias": (WIDTH,), "class_w": (side, WIDTH), "class_b": (side,), "word_w": (side, side, WIDTH), "word_b": (side, side)}
+        self.p = {k: (rng.normal(0, 0.1, s) if k in ("embed", "class_w", "word_w") else np.ones(s) if k == "scale" else np.zeros(s)).astype(np.float32) for k, s in self.sizes.items()}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in self.SIZES])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
-        out, at = cls(), 0
-        for k, s in cls.SIZES.items():
+    def of(cls, flat: np.ndarray, side: int = CLASSES) -> Network:
+        out, at = cls(side=side), 0
+        for k, s in out.sizes.items():
             n = int(np.prod(s))
             out.p[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
         return out
@@ -73,9 +91,9 @@ class Network:
 
     def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Of each word, from the hidden values at its place."""
-        kind, inner = np.divmod(words - 1, CLASS_WORDS)
+        kind, inner = np.divmod(words - 1, self.side)
         score = _log_softmax(h @ self.p["class_w"].T + self.p["class_b"], kind)
-        for c, rows in _by_class(kind):
+        for c, rows in _by_class(kind, self.side):
             score[rows] += _log_softmax(h[rows] @ self.p["word_w"][c].T + self.p["word_b"][c], inner[rows])
         return score
 
@@ -83,12 +101,12 @@ class Network:
         """Of the mean log-probability's negative. Those of ``embed`` are (ids, rows)."""
         p, n = self.p, len(words)
         h = self.hidden(context)
-        kind, inner = np.divmod(words - 1, CLASS_WORDS)
+        kind, inner = np.divmod(words - 1, self.side)
         soft = _softmax(h @ p["class_w"].T + p["class_b"])
         soft[np.arange(n), kind] -= 1
         g = {"class_w": soft.T @ h / n, "class_b": soft.mean(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
         back = soft @ p["class_w"]
-        for c, rows in _by_class(kind):
+        for c, rows in _by_class(kind, self.side):
             own = h[rows]
             part = _softmax(own @ p["word_w"][c].T + p["word_b"][c])
             part[np.arange(len(rows)), inner[rows]] -= 1
@@ -105,11 +123,11 @@ class Network:
         return g
 
 
-def _by_class(kind: np.ndarray):
+def _by_class(kind: np.ndarray, classes: int):
     """Each class that occurs, with its rows."""
     order = np.argsort(kind.astype(np.int16), kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    bounds = np.searchsorted(kind[order], np.arange(classes + 1))
+    for c in range(classes):
         if bounds[c] < bounds[c + 1]:
             yield c, order[bounds[c] : bounds[c + 1]]
 
@@ -132,7 +150,7 @@ class Trainer:
 
     def __init__(self, network: Network, rate: float = RATE):
         self.network, self.rate = network, rate
-        self.seen = {k: np.full(s, 1e-4, np.float32) for k, s in Network.SIZES.items()}
+        self.seen = {k: np.full(s, 1e-4, np.float32) for k, s in network.sizes.items()}
 
     def step(self, context: np.ndarray, words: np.ndarray) -> None:
         for k, v in self.network.gradients(context, words).items():
@@ -164,8 +182,8 @@ def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return lower, coded.indices.to_numpy(), bounds - bounds[0]
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", most: int = CLASSES * CLASS_WORDS - RARE) -> list[str]:
-    """The words that occur most in all texts, by count, then by word. Counting is distributed; ``most`` words are collected."""
+def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, n`` of all words of all texts, distributed."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -175,7 +193,14 @@ def vocabulary(docs: DataFrame, text_col: str = "text", most: int = CLASSES * CL
                 kept = [k for k, w in enumerate(lower) if w]
                 yield pa.RecordBatch.from_pydict({"word": pa.array([lower[k] for k in kept], pa.binary()).cast(pa.string()), "n": pa.array(n[kept], pa.int64())})
 
-    counts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return written(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))).table
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", most: int | None = None, counts: DataFrame | None = None) -> list[str]:
+    """The words that occur most in all texts, by count, then by word; as many as ``vocabulary_size`` says if ``most`` is not given."""
+    counts = counted(docs, text_col) if counts is None else counts
+    most = vocabulary_size(counts.count()) if most is None else most
 
     def first(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
@@ -197,23 +222,49 @@ class Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of all texts, and where each text's begin (one more entry than texts)."""
+        return self.coded(texts)[:2]
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """As ``encode``; then the distinct words, and which of them each word is."""
         lower, codes, bounds = words_of(texts)
         ids = np.array([0 if not w else self.id.get(w) or 1 + zlib.crc32(w) % RARE for w in lower] or [0], np.int32)
         flat = ids[codes] if len(codes) else np.empty(0, np.int32)
         real = np.concatenate([[0], np.cumsum(flat > 0)])
-        return flat[flat > 0], real[bounds]
+        return flat[flat > 0], real[bounds], lower, codes[flat > 0]
+
+
+def rare_words(ids: np.ndarray, bounds: np.ndarray, lower: list[bytes], codes: np.ndarray) -> tuple[list[bytes], pa.Array, pa.Array]:
+    """The distinct words beyond the vocabulary, and of each the texts that hold it and how often."""
+    number: dict[bytes, int] = {}
+    same = np.array([number.setdefault(w, len(number)) for w in lower], np.int64)
+    rare, texts = ids <= RARE, max(1, len(bounds) - 1)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[rare]
+    each, times = np.unique((same[codes[rare]] if len(same) else np.empty(0, np.int64)) * texts + row, return_counts=True)
+    word, row = np.divmod(each, texts)
+    held, first = np.unique(word, return_index=True)
+    names, ends = list(number), pa.array([*first, len(each)], pa.int32())
+    return [names[k] for k in held], pa.ListArray.from_arrays(ends, pa.array(row, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+
+
+def log_shares(counts: DataFrame, words: list[str]) -> DataFrame:
+    """``word, log_share`` of the words beyond the vocabulary: the log of their share of all words of their id."""
+    known = counts.sparkSession.createDataFrame(pd.DataFrame({"word": pd.Series(words, dtype=object)}), "word string")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("id", F.crc32(F.col("word").cast("binary")) % RARE)
+    totals = rare.groupBy("id").agg(F.sum("n").alias("total"))
+    return rare.join(F.broadcast(totals), "id").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
 def train(docs: DataFrame, words: list[str], text_col: str = "text", rounds: int = ROUNDS, seed: int = 1) -> Network:
     """Rounds of training on every partition from the common network, averaged by masked words. No text: the first network."""
-    network = Network(seed)
+    side = side_of(len(words))
+    network = Network(seed, side)
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
 
     for r in range(rounds):
         start = network.flat()
 
         def fit(batches: Iterable[pa.RecordBatch], start=start, r=r) -> Iterator[pd.DataFrame]:
-            encoder, trainer, done, part, rng = Words(words), Trainer(Network.of(start)), 0, None, None
+            encoder, trainer, done, part, rng = Words(words), Trainer(Network.of(start, side)), 0, None, None
             for whole in batches:
                 for batch in sliced(whole, 0, SLICE_BYTES):
                     if part is None:
@@ -235,10 +286,10 @@ def train(docs: DataFrame, words: list[str], text_col: str = "text", rounds: int
                 )
 
         parts = checkpointed(rows.mapInArrow(fit, "part long, chunk long, packed binary"))
-        sums = {x["chunk"]: np.frombuffer(x["packed"], np.float32).astype(np.float64) for x in tree_sum(parts, _add).collect()}  # the network's fixed size
+        sums = {x["chunk"]: np.frombuffer(x["packed"], np.float32).astype(np.float64) for x in tree_sum(parts, _add).collect()}  # the network's size
         if not sums:
             break
-        network = Network.of(np.concatenate([sums[k][1:] / sums[k][0] for k in range(BLOCKS)]))
+        network = Network.of(np.concatenate([sums[k][1:] / sums[k][0] for k in range(BLOCKS)]), side)
     return network
 
 
@@ -246,20 +297,21 @@ def _add(packed: list[bytes]) -> bytes:
     return sum(np.frombuffer(x, np.float32).astype(np.float64) for x in packed).astype(np.float32).tobytes()
 
 
-def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """Per input row: ``doc_id, n_tokens, log_likelihood, mean_log_likelihood``, over all words of the whole text.
 
+    A word beyond the vocabulary has its id's probability times its share of the id's count; ``counts`` are those of ``docs``.
     Null, empty and wordless texts have no tokens, a sum of 0 and a null mean. Equal texts score alike up to rounding to
     six places; repeated rows stay; an empty table gives an empty result; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    flat = network.flat()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
+    flat, side = network.flat(), network.side
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, net = Words(words), Network.of(flat)
+        encoder, net, slices = Words(words), Network.of(flat, side), 0
         for whole in batches:
             for batch in sliced(whole, 1, SLICE_BYTES):
-                ids, bounds = encoder.encode(batch.column(1))
+                ids, bounds, lower, codes = encoder.coded(batch.column(1))
                 wide, place = spread(ids, bounds)
                 each = np.zeros(len(wide))
                 for lo in range(SIDE, len(wide) - SIDE, PLACES):
@@ -268,14 +320,39 @@ def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "do
                 each = each[place]
                 n = np.diff(bounds)
                 total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+                at = (batch.column(2)[0].as_py() << 32) + slices
+                slices += 1
+                k = len(n)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(np.round(total, 6)),
-                     "mean_log_likelihood": pa.array([round(t / k, 6) if k else None for t, k in zip(total.tolist(), n.tolist())], pa.float64())}
+                    {"slice": pa.array([at] * k, pa.int64()), "row": pa.array(range(k), pa.int32()), "doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "total": pa.array(total, pa.float64()),
+                     "word": pa.nulls(k, pa.string()), "rows": pa.nulls(k, pa.list_(pa.int32())), "times": pa.nulls(k, pa.list_(pa.int32()))}
                 )
+                rare, held, times = rare_words(ids, bounds, lower, codes)
+                k = len(rare)
+                yield pa.RecordBatch.from_pydict(
+                    {"slice": pa.array([at] * k, pa.int64()), "row": pa.nulls(k, pa.int32()), "doc_id": pa.nulls(k, pa.int64()), "n_tokens": pa.nulls(k, pa.int64()), "total": pa.nulls(k, pa.float64()),
+                     "word": pa.array(rare, pa.binary()).cast(pa.string()), "rows": held, "times": times}
+                )
+
+    def shares(table: pa.Table) -> pa.Table:
+        """Of a slice's texts the sums over their rare words."""
+        held, times = table.column("rows").combine_chunks(), table.column("times").combine_chunks()
+        weights = np.repeat(table.column("log_share").to_numpy(), pc.list_value_length(held).to_numpy()) * pc.list_flatten(times).to_numpy()
+        row = pc.list_flatten(held).to_numpy()
+        sums, found = np.bincount(row, weights), np.unique(row)
+        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()] * len(found), pa.int64()), "row": pa.array(found, pa.int32()), "more": pa.array(sums[found])})
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    both = written(rows.mapInArrow(run, "slice long, row int, doc_id long, n_tokens long, total double, word string, rows array<int>, times array<int>")).table
+    logs = log_shares(counted(docs, text_col) if counts is None else counts, words)
+    rare = both.where("word is not null").join(logs, "word").select("slice", "rows", "times", "log_share")
+    more = rare.groupBy("slice").applyInArrow(shares, "slice long, row int, more double")
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    return both.where("row is not null").join(more, ["slice", "row"], "left").select(
+        "doc_id", "n_tokens", F.round(total, 6).alias("log_likelihood"), F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 6)).alias("mean_log_likelihood")
+    )
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    words = vocabulary(docs, text_col)
-    return score(docs, words, train(docs, words, text_col), id_col, text_col)
+    counts = counted(docs, text_col)
+    words = vocabulary(docs, text_col, counts=counts)
+    return score(docs, words, train(docs, words, text_col), id_col, text_col, counts)
