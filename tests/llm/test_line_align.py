@@ -75,3 +75,31 @@ def test_clean_documents_stay(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_align.find_repeated_lines(docs).collect() == [] and line_align.drop_repeated_lines(docs).collect() == []
+
+
+def in_earlier(rows, least):
+    """Every line of every stretch of lines, of enough words, that an earlier document has as it is."""
+    out, before = [], []
+    for d, t in rows:
+        at = [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+        mine, gone = [x for _, x in at], set()
+        for lo in range(len(mine)):
+            for hi in range(lo + 1, len(mine) + 1):
+                part = mine[lo:hi]
+                if sum(len(x.split()) for x in part) >= least and any(part == o[k : k + len(part)] for o in before for k in range(len(o))):
+                    gone |= {k for k, _ in at[lo:hi]}
+        out.append((d, sorted(gone)))
+        before.append(mine)
+    return out
+
+
+def test_blocks_of_any_order_and_number_go():
+    rng = random.Random(4)
+    for _ in range(400):
+        size = [rng.choice([1, 3, 4, 12]) for _ in range(6)]
+        old, new = ([rng.choice([None, *range(6)]) for _ in range(rng.randrange(14))] for _ in range(2))
+        text = lambda d: "\n".join("" if x is None else " ".join([f"w{x}"] * size[x]) for x in d)
+        want = in_earlier([(0, text(old)), (1, text(new))], 10)[1][1]
+        assert line_align.repeated_lines(new, [0 if x is None else size[x] for x in new], old, 10) == want
+    assert line_align.repeated_lines([1, 2, 3], [9, 5, 11], [3, 7, 1, 2]) == [0, 1, 2]
+    assert line_align.repeated_lines([5, 1, 6, 1], [1, 12, 1, 12], [7, 1, 8]) == [1, 3]

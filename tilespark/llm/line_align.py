@@ -3,7 +3,9 @@
 Every line that several documents hold names the earliest of them its owner, so the documents that share a line make a star
 and not all pairs; lines that only two or three documents share, the rare ones, thus pair exactly those. Each later document
 is aligned with each of its owners by patience diff: lines that occur once in both anchor the alignment along their longest
-increasing run, and what lies between anchors is aligned in turn. Aligned blocks of enough words go from the later one.
+increasing run, and what lies between anchors is aligned in turn. Where that leaves lines which the owner has too, swapped or
+repeated ones, they are aligned with the whole owner, each by the longest block that ends there. Aligned blocks of enough
+words go from the later one.
 """
 
 from __future__ import annotations
@@ -66,22 +68,67 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _blocks(a: list[int], b: list[int]) -> list[int]:
+    """For every place of ``a`` the length of the longest block that ends there and lies anywhere in ``b``: a suffix automaton of ``b``."""
+    length, link, step = [0], [-1], [{}]
+    last = 0
+    for x in b:
+        new, p = len(length), last
+        length.append(length[last] + 1)
+        link.append(0)
+        step.append({})
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[q] > length[p] + 1:
+                copy = len(length)
+                length.append(length[p] + 1)
+                link.append(link[q])
+                step.append(dict(step[q]))
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        last = new
+    out, at, n = [], 0, 0
+    for x in a:
+        while at and x not in step[at]:
+            at = link[at]
+            n = length[at]
+        if x in step[at]:
+            at, n = step[at][x], n + 1
+        out.append(n)
+    return out
+
+
 def repeated_lines(later: list[int | None], words: list[int], owner: list[int | None], least_words: int = LEAST_WORDS) -> list[int]:
-    """Lines of ``later`` in blocks, aligned with ``owner`` without a gap in either but for blank lines, of ``least_words`` at least."""
+    """Lines of ``later`` in blocks that ``owner`` has too, without a gap in either but for blank lines, of ``least_words`` at least."""
     mine = [k for k, x in enumerate(later) if x is not None]
     theirs = [x for x in owner if x is not None]
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience([later[k] for k in mine], theirs), (-9, -9)]:
+    lines = [later[k] for k in mine]
+    upto = [0]
+    for k in mine:
+        upto.append(upto[-1] + words[k])
+    gone: set[int] = set()
+    start, last = 0, (-2, -2)
+    for i, j in [*patience(lines, theirs), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= least_words:
-                out += block
-            block = []
-        if i >= 0:
-            block.append(mine[i])
+            if last[0] >= 0 and upto[last[0] + 1] - upto[start] >= least_words:
+                gone.update(range(start, last[0] + 1))
+            start = i
         last = (i, j)
-    return out
+    there = set(theirs)
+    if any(x in there and i not in gone for i, x in enumerate(lines)):
+        low = len(lines)
+        for i, n in reversed(list(enumerate(_blocks(lines, theirs)))):
+            if n and upto[i + 1] - upto[i + 1 - n] >= least_words:
+                gone.update(range(i + 1 - n, min(i + 1, low)))
+                low = min(low, i + 1 - n)
+    return [mine[i] for i in sorted(gone)]
 
 
 def _lines(text: Column) -> Column:
