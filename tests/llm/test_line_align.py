@@ -103,3 +103,17 @@ def test_blocks_of_any_order_and_number_go():
         assert line_align.repeated_lines(new, [0 if x is None else size[x] for x in new], old, 10) == want
     assert line_align.repeated_lines([1, 2, 3], [9, 5, 11], [3, 7, 1, 2]) == [0, 1, 2]
     assert line_align.repeated_lines([5, 1, 6, 1], [1, 12, 1, 12], [7, 1, 8]) == [1, 3]
+
+
+def test_swapped_doubled_and_unowned_passages_go(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"q{k}x{m}" for m in range(rng.choice([1, 4, 6, 9, 12]))) for k in range(12)]
+    rows = []
+    for i in range(60):
+        body = [rng.choice(pool) if rng.random() < 0.7 else f"own {i} {k}" for k in range(rng.randrange(9))]
+        rows.append((i, "\n".join(x + ["", " ", "\n"][rng.randrange(3)] for x in body)))
+    # Both lines have earlier owners, neither of which holds them together.
+    rows += [(70, "alone a b c d e f"), (71, "other g h i j"), (72, "alone a b c d e f\nother g h i j"), (73, "x\nalone a b c d e f\n\nother g h i j\ny")]
+    found = line_align.find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, list(r.removed)) for r in found) == in_earlier(rows, 10)
+    assert dict(in_earlier(rows, 10))[73] == [1, 3]

@@ -1,11 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Every line that several documents hold names the earliest of them its owner, so the documents that share a line make a star
-and not all pairs; lines that only two or three documents share, the rare ones, thus pair exactly those. Each later document
-is aligned with each of its owners by patience diff: lines that occur once in both anchor the alignment along their longest
-increasing run, and what lies between anchors is aligned in turn. Where that leaves lines which the owner has too, swapped or
-repeated ones, they are aligned with the whole owner, each by the longest block that ends there. Aligned blocks of enough
-words go from the later one.
+A run is a stretch of consecutive non-blank lines that just reaches the least number of words, counted from its first line on
+or from its last line back. Every run that several documents hold names the earliest of them its owner, so the documents that
+share a run make a star and not all pairs; every line of any block of enough words that an earlier document holds is in a run
+of that block. Each later document is aligned with each of its owners by patience diff: lines that occur once in both anchor
+the alignment along their longest increasing run, and what lies between anchors is aligned in turn. Where that leaves lines
+which the owner has too, swapped or repeated ones, they are aligned with the whole owner, each by the longest block that ends
+there. Aligned blocks of enough words go from the later one.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .util import WORD, checkpointed
 
@@ -131,6 +136,34 @@ def repeated_lines(later: list[int | None], words: list[int], owner: list[int |
     return [mine[i] for i in sorted(gone)]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def runs(lines: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS) -> np.ndarray:
+    """Hashes of the shortest runs of ``least_words`` from every line on and from every line back; equal runs have equal hashes."""
+    n = len(lines)
+    if not n:
+        return np.empty(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + least_words, "left"), np.arange(n) + 1)
+    starts = np.minimum(np.searchsorted(upto, upto[1:] - least_words, "right") - 1, np.arange(n))
+    on, back = ends <= n, starts >= 0
+    lo, hi = np.concatenate([np.flatnonzero(on), starts[back]]), np.concatenate([ends[on], np.flatnonzero(back) + 1])
+    with np.errstate(over="ignore"):
+        # A prefix sum of line hashes times powers, divided by the power of the first place, so that only the run itself counts.
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]), dtype=np.uint64)
+        unpower = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _UNBASE)]), dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(lines.astype(np.int64).view(np.uint64)) * power[:n], dtype=np.uint64)])
+        return np.unique(_mixed((total[hi] - total[lo]) * unpower[lo] + (hi - lo).astype(np.uint64)).view(np.int64))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -153,8 +186,20 @@ def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         )
         .dropDuplicates(["key"])
     )
+
+    def run_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lines, words in zip(batch.column(1), batch.column(2)):
+                lines, words = lines.values, words.values
+                real = pc.is_valid(lines)
+                found.append(runs(lines.filter(real).to_numpy(zero_copy_only=False), words.filter(real).to_numpy(zero_copy_only=False), least_words))
+            ends = np.cumsum([0, *map(len, found)])
+            yield pa.RecordBatch.from_pydict({"key": batch.column(0), "doc_id": batch.column(3), "runs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))})
+
+    with_runs = StructType([*table.select("key", "doc_id").schema.fields, StructField("runs", ArrayType(LongType()))])
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    each = table.select("key", order.alias("order"), F.explode(F.array_distinct(F.array_compact("hashes"))).alias("hash"))
+    each = table.select("key", "hashes", "words", "doc_id").mapInArrow(run_hashes, with_runs).select("key", order.alias("order"), F.explode("runs").alias("hash"))
     owners = each.groupBy("hash").agg(F.min("order").alias("owner"), F.count(F.lit(1)).alias("documents")).where("documents > 1").select("hash", F.col("owner.key").alias("owner"))
     pairs = each.join(owners, "hash").where("key != owner").select("key", "owner").distinct()
     later = table.select("key", F.col("hashes").alias("later"), "words")
