@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tilespark.llm import ngram_jaccard
@@ -79,3 +80,23 @@ def test_connected_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7), (300, 301), (301, 300)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(51)}, 100: 100, 150: 100, 200: 100, 300: 300, 301: 300}
+
+
+def test_every_link_is_counted(spark):
+    draw = np.random.default_rng(8)
+    base = [f"t{k}" for k in range(60)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in draw.integers(0, 60, draw.integers(0, 3)):
+            words[at] = f"n{draw.integers(0, 9)}"
+        texts.append(" ".join(words))
+    texts += [texts[0], None, " ", "few words", "Few  words", " ".join(base[:55])]
+    sets = [set(s.tolist()) for s in ngram_jaccard.shingles([(t or "").encode() for t in texts])]
+    want = [sum(j != i and bool(s) and len(s & z) * 100 >= 80 * len(s | z) for j, z in enumerate(sets)) for i, s in enumerate(sets)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = ngram_jaccard.JaccardJoin(docs)
+    assert [n for _, n in sorted(map(tuple, join.link_counts().collect()))] == want
+    postings = spark.createDataFrame([(1, k, 50, 0, 0) for k in range(30)], "token long, key long, n int, place int, shared int")
+    join._suffix_filtered = lambda pairs: pairs
+    assert join._all_pairs(postings, block=4).count() == 30 * 29 // 2 == join._all_pairs(postings).count()

@@ -10,7 +10,8 @@ overlap of what remains (suffix filter). A pair that passes is verified once, on
 Links matter for what they connect, so no group's pairs are all made. First every posting list gives a star around its
 member with the fewest shingles of its own, and a chain by size: a pair per posting. Then each list gives the pairs between
 what are still different components, made from the members outside the list's largest component. A link inside a component
-adds nothing to it; all others are found.
+adds nothing to it; all others are found. ``all_links`` makes and verifies every candidate pair of every list instead, which
+grows with the square of a group, and ``link_counts`` counts them per document.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ SKETCH_BITS = 20
 CHUNK_BITS = 16
 PARTS = 64
 BITMAP_BITS = 20
+LIST_BLOCK = 256
 SLICE_BYTES = 1 << 20
 
 _TABLE = np.random.default_rng(2024).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -203,8 +205,8 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY):
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
-        self.rows, level = _sets(docs, id_col, text_col)
-        whole = written(_classes(docs, id_col, text_col, level, similarity))
+        self.rows, self.level = _sets(docs, id_col, text_col)
+        whole = written(_classes(docs, id_col, text_col, self.level, similarity))
         postings = written(self._postings(whole.table))
         slim = written(whole.table.drop("prefix"))
         whole.drop()
@@ -258,6 +260,34 @@ class JaccardJoin:
         met = left.join(right, (F.col("x_token") == F.col("y_token")) & (F.col("x_component") != F.col("y_component")) & once & _may_link("x_", "y_", self.similarity))
         return self._suffix_filtered(met.select(*_pairs("x_", "y_")).distinct())
 
+    def _all_pairs(self, postings: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+        """Every pair on every posting list where the filters pass. Lists are cut into blocks, and each two blocks meet in a key of their own."""
+        by_size = Window.partitionBy("token").orderBy("n", "key")
+        nth = postings.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / block))
+        cut = nth.withColumn("last", F.max("block").over(Window.partitionBy("token")))
+        names = ("key", "n", "place", "shared")
+        left = cut.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), *[F.col(c).alias(f"x_{c}") for c in names])
+        right = cut.select("token", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), *[F.col(c).alias(f"y_{c}") for c in names])
+        met = left.join(right, ["token", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x_key") < F.col("y_key")))
+        return self._suffix_filtered(met.where(_may_link("x_", "y_", self.similarity)).select(*_pairs("x_", "y_")).distinct())
+
+    def all_links(self) -> DataFrame:
+        """``a, b``: every link between two classes, also inside a component that other links connect."""
+        again = _classes(self.docs, self.id_col, self.text_col, self.level, self.similarity).select("set_key", "prefix")
+        postings = written(self._postings(self.classes.join(again, "set_key")))
+        pairs = checkpointed(self._all_pairs(postings.table))
+        postings.drop()
+        return self._verified(pairs)
+
+    def link_counts(self) -> DataFrame:
+        """Per input row: ``doc_id, n_links``, how many other rows have an equal set or one that is linked. Wordless texts have none."""
+        sizes = self.rows.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("size")).join(self.classes.select("set_key", "key"), "set_key")
+        links = self.all_links()
+        ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        far = ways.join(sizes.select(F.col("key").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("far"))
+        counts = sizes.join(far, F.col("key") == F.col("a"), "left").select("set_key", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+        return self.rows.join(counts, "set_key", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
     def _suffix_filtered(self, pairs: DataFrame) -> DataFrame:
         p, q = self.similarity
         x = self.classes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
