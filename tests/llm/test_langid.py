@@ -46,3 +46,11 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
     assert [r.doc_id for r in langid.keep_known(docs).collect()] == [1]
     assert langid.identify(docs.where(F.lit(False)), None).collect() == []
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, " ".join(f"l{i % 205}x{k}" for k in range(4)), f"l{i % 205}") for i in range(205 * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert set(model.languages) == {f"l{k}" for k in range(205)}
+    assert set(langid.train(docs, per_language=1).languages) == set(model.languages)

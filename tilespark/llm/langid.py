@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 BITS = 14
 GRAMS = (1, 2, 3, 4)
-#: Bound of the training sample: so many labelled texts of each language, and so many languages.
+#: Bound of the training sample: so many labelled texts of each language, and so many in all, shared among the languages.
 TRAIN_PER_LANGUAGE = 400
-MOST_LANGUAGES = 200
+TRAIN_ROWS = 80_000
 LANDMARKS = 256
 RIDGE = 1e-3
 SHARPNESS = 8.0
@@ -95,15 +95,17 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> KernelRidge | None:
     """Fit on a seeded sample of at most ``per_language`` labelled texts of each language; none labelled: None.
 
-    What reaches the driver is ``per_language`` presence vectors of 2 KB for each of at most ``MOST_LANGUAGES`` languages.
+    Every labelled language is learned. What reaches the driver is ``TRAIN_ROWS`` presence vectors of 2 KB at most, shared
+    among the languages, and one of each at least.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("draw"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    # Draw about twice as many by hash where a language has more, then keep the first by hash: exact and without a full sort.
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2.0 * per_language / n))])
+    per_language = max(1, min(per_language, TRAIN_ROWS // len(sizes)))
+    # Draw about twice as many (40 more at least, so that no language is missed) by hash where a language has more, then keep the first by hash: exact and without a full sort.
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, max(2.0 * per_language, per_language + 40.0) / n))])
     drawn = rows.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 30)))
 
     def packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
