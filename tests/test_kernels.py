@@ -48,3 +48,11 @@ def test_cholesky_kernels():
     assert np.allclose(kernels.trsm(low, a) @ low.T, a)
     assert not kernels.trsm(low, np.zeros((2, 5))).any()
     assert np.allclose(kernels.syrk(a, low, low), 0)
+    z = kernels.trsm_sub(a, x, low)
+    assert np.allclose(np.triu(a) @ z, low - x)
+
+
+def test_reflectors_back_and_forth():
+    x, s = rng.normal(size=(7, 4)), rng.normal(size=(7, 3))
+    v, t, _ = kernels.qr_factor(x)
+    assert np.allclose(kernels.qr_leaf(v, t, kernels.qr_leaf(v, t, s), back=True), s)

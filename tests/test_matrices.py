@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tilespark.operators import factor, gemm, reshard, views
+from tilespark.operators import factor, gemm, neighbors, reshard, views
 from tilespark.operators.reduce import arg_extreme, reduce
 from tilespark.plans import program
 from tilespark.sources import matrix
@@ -99,6 +99,67 @@ def test_argmin_counts_absent_cells(spark):
     assert {r.i: r.v for r in reduce(cells, "prod", "i", 3).collect()} == {0: 6, 1: 0, 2: 0, 3: 0}
 
 
+def test_distances_of_rows_without_a_common_column(spark):
+    x, y = np.array([[3.0, 0], [0, 4]]), np.array([[3.0, 0], [0, 4], [1, 1]])
+    cells = [matrix.to_cells(matrix.from_numpy(spark, a, (2, 2)), Meta(a.shape, (2, 2))).where("v <> 0") for a in (x, y)]
+    found = matrix.to_numpy(neighbors.distances(*cells), (2, 3))
+    assert neighbors.distances(*cells).count() == 6
+    assert np.allclose(found, ((x[:, None] - y[None]) ** 2).sum(2))
+
+
+@pytest.mark.parametrize(("blocks", "truncate"), [(3, 0), (5, 2)])
+def test_orthogonal_factors(spark, blocks, truncate):
+    n = 3 * blocks - 1
+    x, meta = rng.normal(size=(n, n)), Meta((n, n), (3, 3))
+    tiles = matrix.from_numpy(spark, x, (3, 3))
+    eye = matrix.from_numpy(spark, np.eye(n), (3, 3))
+    band, rest, q, p = factor.bdfac_factors(tiles, meta, truncate)
+    left, right = (dense(o.times(eye, meta), meta) for o in (q, p))
+    assert np.allclose(left.T @ left, np.eye(n)) and np.allclose(right.T @ right, np.eye(n))
+    middle = dense(band.unionByName(rest), meta)
+    assert np.allclose(left @ middle @ right.T, x)
+    steps = 3 * (blocks - truncate)
+    assert np.allclose(middle[:steps], np.triu(middle[:steps])) and rest.isEmpty() == (truncate == 0)
+    assert np.allclose(dense(factor.bdfac(tiles, meta, truncate, tiled=True), meta)[:steps], middle[:steps])
+    assert np.allclose(dense(q.times(eye, meta, transposed=True), meta), left.T)
+    assert q.reflectors().count() > 0
+
+
+def test_qr_of_a_tall_matrix_gives_both_factors(spark):
+    x, meta = rng.normal(size=(10, 4)), Meta((10, 4), (2, 2))
+    r, q = factor.qr_factors(matrix.from_numpy(spark, x, (2, 2)), meta)
+    whole = np.zeros((10, 4))
+    found = dense(r, meta)
+    whole[: len(found)] = found
+    back = dense(q.times(matrix.from_numpy(spark, whole, (2, 2)), meta), meta)
+    assert np.allclose(back, x)
+
+
+def test_saved_matrices(spark, tmp_path):
+    a, meta = rng.normal(size=(5, 7)), Meta((5, 7), (2, 3))
+    matrix.save(matrix.from_numpy(spark, a, (2, 3)), meta, str(tmp_path / "one"))
+    assert matrix.exists(spark, str(tmp_path / "one")) and not matrix.exists(spark, str(tmp_path / "two"))
+    assert [(r.path.rsplit("/", 1)[1], r.shape, r.tile) for r in matrix.saved(spark, str(tmp_path)).collect()] == [("one", [5, 7], [2, 3])]
+    assert matrix.saved(spark, str(tmp_path / "none")).collect() == []
+    line = {r.j: r.v for r in matrix.load_line(spark, str(tmp_path / "one"), 3).collect()}
+    assert [line[j] for j in range(7)] == a[3].tolist()
+
+
+def test_an_absent_diagonal_tile_is_an_error(spark):
+    tiles = matrix.from_numpy(spark, np.eye(4), (2, 2)).where("bi = 0")
+    with pytest.raises(np.linalg.LinAlgError):
+        factor.cholesky(tiles, Meta((4, 4), (2, 2)), tiled=True)
+
+
+def test_compiler_refuses_what_it_does_not_know(spark):
+    for body in ("A[i] = f(B[k])", "i = 3", "A[i] = f(B['x'])"):
+        with pytest.raises((NameError, SyntaxError)):
+            program.compiled(f"def f(A, B, N):\n    for i in range(N):\n        {body}", ("B",), ("A",), N=3)
+    p = program.compiled("def f(A, B, N):\n    for i in range(N):\n        A[i] = unheard_of(B[i])", ("B",), ("A",), N=3)
+    with pytest.raises(KeyError):
+        program.flops(p, spark, 8)
+
+
 GRAPHS = [
     (program.gemm_program(4, 4, 4), 96, 80, 64, 16), (program.cholesky_program(4), 20, 30, 1, 10), (program.cholesky_program(16), 816, 2040, 1, 136),
     (program.tsqr_program(8), 15, 14, 8, 15), (program.tsqr_program(16), 31, 30, 16, 31), (program.qr_program(4), 59, 99, 4, 23),

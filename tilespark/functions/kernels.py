@@ -16,6 +16,11 @@ def trsm(low: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.solve(low, y.T).T
 
 
+def trsm_sub(upper: np.ndarray, s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Z with upper Z = x − s, for an upper triangular tile; what lies below its diagonal is not read."""
+    return np.linalg.solve(np.triu(upper), x - s)
+
+
 def syrk(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """s − x yᵀ."""
     return s - x @ y.T if x.any() and y.any() else s
@@ -32,7 +37,7 @@ def qr_factor(*blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         norm = np.linalg.norm(x[1:])
         w = np.zeros(m - c)
         w[0] = 1.0
-        if norm == 0 and c == m - 1 or norm == 0:
+        if norm == 0:
             tau = 0.0
         else:
             alpha = -np.copysign(np.hypot(x[0], norm), x[0])
@@ -45,17 +50,17 @@ def qr_factor(*blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, t, np.triu(a[:k])
 
 
-def qr_leaf(v: np.ndarray, t: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Qᵀ s."""
-    return s - v @ (t.T @ (v.T @ s))
+def qr_leaf(v: np.ndarray, t: np.ndarray, s: np.ndarray, back: bool = False) -> np.ndarray:
+    """Qᵀ s, or Q s if ``back``."""
+    return s - v @ ((t if back else t.T) @ (v.T @ s))
 
 
-def qr_trailing(v: np.ndarray, t: np.ndarray, upper: np.ndarray, lower: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Qᵀ of two stacked tiles. ``upper`` may have more rows than V's first part; the rest is not touched."""
+def qr_trailing(v: np.ndarray, t: np.ndarray, upper: np.ndarray, lower: np.ndarray | None, back: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Qᵀ (or Q) of two stacked tiles. ``upper`` may have more rows than V's first part; the rest is not touched."""
     if lower is None:
-        return qr_leaf(v, t, upper), None
+        return qr_leaf(v, t, upper, back), None
     k = len(v) - len(lower)
-    both = qr_leaf(v, t, np.vstack([upper[:k], lower]))
+    both = qr_leaf(v, t, np.vstack([upper[:k], lower]), back)
     return np.vstack([both[:k], upper[k:]]), both[k:]
 
 
@@ -74,11 +79,15 @@ def bidiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.diag(a).copy(), np.diag(a, 1).copy()
 
 
-#: Flops of a kernel on m×n (and z) operands.
+#: Flops of a kernel that reads ``tiles`` square tiles of ``b`` by ``b`` (V is as tall as what was factored).
 FLOPS = {
-    "chol": lambda n: n**3 / 3,
-    "trsm": lambda m, n: m * n * n,
-    "syrk": lambda m, n, z: 2 * m * n * z + m * z,
-    "gemm": lambda m, n, k: 2 * m * n * k,
-    "qr": lambda m, n: 2 * m * n * n - 2 * n**3 / 3,
+    "chol": lambda b, tiles: b**3 / 3,
+    "trsm": lambda b, tiles: b**3,
+    "syrk": lambda b, tiles: 2 * b**3 + b**2,
+    "gemm": lambda b, tiles: 2 * b**3,
+    "add_matrices": lambda b, tiles: (tiles - 1) * b**2,
+    "identity": lambda b, tiles: 0,
+    **dict.fromkeys(("qr_factor", "qr_factor_triangular", "lq_factor"), lambda b, tiles: 2 * tiles * b**3 - 2 * b**3 / 3),
+    **dict.fromkeys(("qr_leaf", "lq_leaf"), lambda b, tiles: 3 * b**3 + b**2),
+    **dict.fromkeys(("qr_trailing_update", "lq_trailing_update"), lambda b, tiles: 4 * b**3 + b**2),
 }

@@ -66,13 +66,17 @@ def syrk_lower(x: DataFrame) -> DataFrame:
 
 
 def gemm_missing(x: DataFrame, y: DataFrame, done: DataFrame, tile: tuple[int, int]) -> DataFrame:
-    """Only the product's cells in blocks that ``done`` lacks; blocks that are there drop out before the sums."""
+    """Only the product's cells in blocks that ``done`` lacks: rows of ``x`` meet the columns of missing blocks alone."""
     a, b = tile
     block = lambda i, j: (F.expr(f"{i} div {a}").alias("bi"), F.expr(f"{j} div {b}").alias("bj"))
     there = done.select(*block("i", "j")).distinct()
-    left = x.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
-    right = y.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    pairs = left.join(right, "k").select("*", *block("i", "j")).join(there, ["bi", "bj"], "left_anti")
+    left = x.select("i", F.col("j").alias("k"), F.col("v").alias("x"), block("i", "j")[0])
+    right = y.select(F.col("i").alias("k"), "j", F.col("v").alias("y"), block("i", "j")[1])
+    last = right.agg(F.max("bj")).first()[0]
+    if last is None:
+        return left.join(right, "k").select("i", "j", F.col("x").alias("v")).where("false")
+    grid = left.select("bi").distinct().withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    pairs = left.join(grid.join(there, ["bi", "bj"], "left_anti"), "bi").join(right, ["k", "bj"])
     return pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 

@@ -48,9 +48,17 @@ def _bounds(s, n: int) -> tuple[int, int, int]:
     return start, stop, step or 1
 
 
-def submatrix(cells: DataFrame, meta: Meta, *slices) -> tuple[DataFrame, Meta]:
-    """A strided sub-matrix in units of blocks, renumbered from 0, and its shape. Trailing axes default to all."""
-    axes, out, shape = ("i", "j"), cells, []
+def get_line(cells: DataFrame, i: int) -> DataFrame:
+    """One row of the matrix, not its block row: an equality on ``i``, so the filter reaches the scan."""
+    return cells.where(F.col("i") == i)
+
+
+def submatrix(cells: DataFrame, meta: Meta, *slices, axes: tuple[str, ...] = ("i", "j")) -> tuple[DataFrame, Meta]:
+    """A strided sub-matrix in units of blocks, renumbered from 0, and its shape. Trailing axes default to all.
+
+    ``axes`` names the index columns; a tensor has as many as ``meta`` has sizes.
+    """
+    out, shape = cells, []
     for axis, name in enumerate(axes):
         start, stop, step = _bounds(slices[axis] if axis < len(slices) else None, meta.n_blocks(axis))
         size, n = meta.tile[axis], meta.shape[axis]
@@ -61,7 +69,7 @@ def submatrix(cells: DataFrame, meta: Meta, *slices) -> tuple[DataFrame, Meta]:
         if step > 1:
             keep = keep & ((place - start) % step == 0)
         out = out.where(keep).withColumn(name, F.expr(f"(({name} div {size}) - {start}) div {step}") * size + F.col(name) % size)
-    return out.select("i", "j", "v"), replace(meta, shape=tuple(shape), ridge=0.0)
+    return out.select(*axes, "v"), replace(meta, shape=tuple(shape), ridge=0.0)
 
 
 def transpose(cells: DataFrame) -> DataFrame:

@@ -6,11 +6,16 @@ Loop bounds and indices are SQL expressions over the loop variables and the prog
 
 from __future__ import annotations
 
+import ast
+import inspect
+import textwrap
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..session import cut_lineage
 
 VARIABLES = ("i", "j", "k", "level")
@@ -18,12 +23,13 @@ VARIABLES = ("i", "j", "k", "level")
 
 @dataclass(frozen=True)
 class Statement:
-    """``loops``: (variable, low, high, step), high excluded; ``reads`` and ``writes``: (matrix, indices)."""
+    """``loops``: (variable, low, high, step), high excluded; ``reads`` and ``writes``: (matrix, indices); ``where``: a condition."""
 
     kernel: str
     loops: tuple[tuple[str, str, str, str], ...]
     reads: tuple[tuple[str, tuple[str, ...]], ...]
     writes: tuple[tuple[str, tuple[str, ...]], ...]
+    where: str = "true"
 
 
 @dataclass(frozen=True)
@@ -31,6 +37,7 @@ class Program:
     statements: tuple[Statement, ...]
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
+    variables: tuple[str, ...] = VARIABLES
 
     def tasks(self, spark: SparkSession) -> DataFrame:
         """All tasks: ``stmt, kernel, i, j, k, level``."""
@@ -38,7 +45,7 @@ class Program:
         for number, s in enumerate(self.statements):
             rows = _domain(spark, s)
             have = {v for v, *_ in s.loops}
-            rows = rows.select(F.lit(number).alias("stmt"), F.lit(s.kernel).alias("kernel"), *[(F.col(v) if v in have else F.lit(None)).cast("int").alias(v) for v in VARIABLES])
+            rows = rows.select(F.lit(number).alias("stmt"), F.lit(s.kernel).alias("kernel"), *[(F.col(v) if v in have else F.lit(None)).cast("int").alias(v) for v in self.variables])
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -47,7 +54,7 @@ class Program:
         out = None
         for number, s in enumerate(self.statements):
             have = {v for v, *_ in s.loops}
-            task = F.struct(F.lit(number).alias("stmt"), *[(F.col(v) if v in have else F.lit(None)).cast("int").alias(v) for v in VARIABLES])
+            task = F.struct(F.lit(number).alias("stmt"), *[(F.col(v) if v in have else F.lit(None)).cast("int").alias(v) for v in self.variables])
             each = [F.struct(F.lit(m).alias("mat"), F.array(*[F.expr(f"int({x})") for x in idx]).alias("idx")) for m, idx in getattr(s, mode)]
             rows = _domain(spark, s).select(task.alias("task"), F.explode(F.array(*each)).alias("a")).select("task", "a.mat", "a.idx")
             out = rows if out is None else out.unionByName(rows)
@@ -70,7 +77,7 @@ class Program:
     def _next(self, spark: SparkSession, here: str, there: str, task: dict[str, int]) -> DataFrame:
         """The filter on one task reaches its side of the join before the join."""
         rows = self.edges(spark)
-        for name in ("stmt", *VARIABLES):
+        for name in ("stmt", *self.variables):
             rows = rows.where(F.col(here)[name].eqNullSafe(F.lit(task.get(name))))
         return rows.select(F.col(f"{there}.*"))
 
@@ -90,7 +97,7 @@ class Program:
     def levels(self, spark: SparkSession) -> DataFrame:
         """``task, depth``: each task on its longest path from a source, from 1."""
         edges = cut_lineage(self.edges(spark))
-        task = F.struct("stmt", *VARIABLES).alias("task")
+        task = F.struct("stmt", *self.variables).alias("task")
         depth = cut_lineage(self.tasks(spark).select(task, F.lit(1).alias("depth")))
         frontier = depth
         while True:
@@ -108,7 +115,91 @@ def _domain(spark: SparkSession, s: Statement) -> DataFrame:
         last = f"int({high}) - 1"
         places = F.expr(f"if({last} >= int({low}), sequence(int({low}), {last}, int({step})), array())")
         rows = rows.withColumn(v, F.explode(places))
-    return rows
+    return rows.where(s.where)
+
+
+class _Compiler(ast.NodeVisitor):
+    """Statements of a function's loops and branches; integer arguments are put in, local values substituted."""
+
+    SIGNS = {ast.Add: "({} + {})", ast.Sub: "({} - {})", ast.Mult: "({} * {})", ast.Div: "({} / {})", ast.FloorDiv: "floor({} / {})", ast.Mod: "pmod({}, {})", ast.Pow: "power({}, {})",
+             ast.Eq: "({} = {})", ast.NotEq: "({} <> {})", ast.Lt: "({} < {})", ast.LtE: "({} <= {})", ast.Gt: "({} > {})", ast.GtE: "({} >= {})"}
+    CALLS = {"ceiling": "ceil(round({}, 9))", "floor": "floor(round({}, 9))", "log": "ln({})"}
+
+    def __init__(self, sizes: dict[str, int]):
+        self.names = {k: str(v) for k, v in sizes.items()}
+        self.loops: list[tuple[str, str, str, str]] = []
+        self.conditions: list[str] = []
+        self.made: list[Statement] = []
+        self.variables: list[str] = []
+
+    def sql(self, e: ast.expr) -> str:
+        if isinstance(e, ast.Constant) and isinstance(e.value, (bool, int, float)):
+            return str(e.value).lower()
+        if isinstance(e, ast.Name):
+            if e.id not in self.names:
+                raise NameError(f"{e.id} has no value in line {e.lineno}")
+            return self.names[e.id]
+        if isinstance(e, ast.BinOp):
+            return self.SIGNS[type(e.op)].format(self.sql(e.left), self.sql(e.right))
+        if isinstance(e, ast.Compare):
+            sides = [self.sql(x) for x in (e.left, *e.comparators)]
+            return "(" + " AND ".join(self.SIGNS[type(op)].format(a, b) for op, a, b in zip(e.ops, sides, sides[1:])) + ")"
+        if isinstance(e, ast.BoolOp):
+            return "(" + (" AND " if isinstance(e.op, ast.And) else " OR ").join(map(self.sql, e.values)) + ")"
+        if isinstance(e, ast.UnaryOp):
+            return f"({'NOT ' if isinstance(e.op, ast.Not) else '-'}{self.sql(e.operand)})"
+        if isinstance(e, ast.Call) and getattr(e.func, "id", "") in self.CALLS:
+            return self.CALLS[e.func.id].format(*map(self.sql, e.args))
+        raise SyntaxError(f"line {e.lineno}: {ast.unparse(e)}")
+
+    def tile(self, e: ast.expr) -> tuple[str, tuple[str, ...]]:
+        return e.value.id, tuple(map(self.sql, e.slice.elts if isinstance(e.slice, ast.Tuple) else [e.slice]))
+
+    def visit_For(self, node: ast.For) -> None:
+        bounds = [self.sql(x) for x in node.iter.args]
+        low, high, step = ["0", *bounds, "1"] if len(bounds) == 1 else [*bounds, "1"][:3]
+        name, outer = node.target.id, self.names.get(node.target.id)
+        if outer == name:
+            raise SyntaxError(f"line {node.lineno}: {name} is a loop's variable already")
+        self.names[name] = name
+        self.variables += [name] if name not in self.variables else []
+        self.loops.append((name, low, high, step))
+        for x in node.body:
+            self.visit(x)
+        self.loops.pop()
+        del self.names[name]
+
+    def visit_If(self, node: ast.If) -> None:
+        test = self.sql(node.test)
+        for condition, body in ((test, node.body), (f"(NOT {test})", node.orelse)):
+            self.conditions.append(condition)
+            for x in body:
+                self.visit(x)
+            self.conditions.pop()
+
+    def visit_Assign(self, node: ast.Assign) -> None:
+        target, value = node.targets[0], node.value
+        targets = target.elts if isinstance(target, ast.Tuple) else [target]
+        if isinstance(targets[0], ast.Name):
+            if targets[0].id in self.variables:
+                raise SyntaxError(f"line {node.lineno}: {targets[0].id} is a loop's variable")
+            self.names[targets[0].id] = self.sql(value)
+            return
+        reads = tuple(self.tile(a) for a in value.args if isinstance(a, ast.Subscript))
+        where = " AND ".join(self.conditions) or "true"
+        self.made.append(Statement(value.func.id, tuple(self.loops), reads, tuple(map(self.tile, targets)), where))
+
+
+def compiled(source: str | Callable, inputs: tuple[str, ...], outputs: tuple[str, ...], **sizes: int) -> Program:
+    """The program of a Python function, or of its text: ``for`` over ``range``, ``if`` and ``else``, and calls that assign tiles.
+
+    ``sizes`` are the values of its integer arguments. The function is only read, never run.
+    """
+    tree = ast.parse(textwrap.dedent(source if isinstance(source, str) else inspect.getsource(source)))
+    walk = _Compiler(sizes)
+    for x in next(x for x in tree.body if isinstance(x, ast.FunctionDef)).body:
+        walk.visit(x)
+    return Program(tuple(walk.made), tuple(inputs), tuple(outputs), tuple(walk.variables))
 
 
 def _log(n: str, base: int = 2) -> str:
@@ -205,13 +296,28 @@ def bdfac_program(blocks: int, truncate: int = 0) -> Program:
     return Program(tuple(statements), ("I",), ("R_QR", "L_LQ"))
 
 
-#: Flops of a task over tiles of ``b`` by ``b``.
-FLOPS = {"chol": "b*b*b/3", "trsm": "b*b*b", "syrk": "2*b*b*b + b*b", "gemm": "2*b*b*b", "add_matrices": "3*b*b", "identity": "0"}
+def flops(program: Program, spark: SparkSession, tile: int) -> DataFrame:
+    """``kernel, tasks, flops`` over tiles of ``tile`` by ``tile``. A kernel without a model is an error."""
+    return counters(program, spark, tile).select("kernel", "tasks", "flops")
 
 
-def flops(tasks: DataFrame, tile: int) -> DataFrame:
-    """Flops by kernel."""
-    cost = F.lit(0.0)
-    for kernel, formula in FLOPS.items():
-        cost = F.when(F.col("kernel") == kernel, F.expr(formula.replace("b", f"{float(tile)}D"))).otherwise(cost)
-    return tasks.groupBy("kernel").agg(F.count(F.lit(1)).alias("tasks"), F.sum(cost).alias("flops"))
+def counters(program: Program, spark: SparkSession, tile: int) -> DataFrame:
+    """``kernel, tasks, flops, tiles_read, tiles_written, bytes_read, bytes_written`` of a whole run, tiles being doubles."""
+    costs = []
+    for number, s in enumerate(program.statements):
+        if s.kernel not in kernels.FLOPS:
+            raise KeyError(f"no flop model of {s.kernel}")
+        costs.append((number, float(kernels.FLOPS[s.kernel](tile, len(s.reads))), len(s.reads), len(s.writes)))
+    cost = spark.createDataFrame(costs, "stmt int, each double, reads long, writes long")
+    sums = program.tasks(spark).join(F.broadcast(cost), "stmt").groupBy("kernel").agg(F.count(F.lit(1)).alias("tasks"), F.sum("each").alias("flops"), F.sum("reads").alias("tiles_read"), F.sum("writes").alias("tiles_written"))
+    size = 8 * tile * tile
+    return sums.withColumns({"bytes_read": F.col("tiles_read") * size, "bytes_written": F.col("tiles_written") * size})
+
+
+def status(program: Program, spark: SparkSession, finished: DataFrame) -> DataFrame:
+    """``status, tasks``: FINISHED, READY (all that it reads from is finished) or NOT_READY, given the finished tasks (``task``)."""
+    every = program.tasks(spark).select(F.struct("stmt", *program.variables).alias("task"))
+    done = finished.select("task").distinct().withColumn("done", F.lit(True))
+    waiting = program.edges(spark).join(done.select(F.col("task").alias("parent")), "parent", "left_anti").select(F.col("child").alias("task")).distinct().withColumn("waits", F.lit(True))
+    state = F.when(F.col("done"), "FINISHED").when(F.col("waits"), "NOT_READY").otherwise("READY")
+    return every.join(done, "task", "left").join(waiting, "task", "left").groupBy(state.alias("status")).agg(F.count(F.lit(1)).alias("tasks"))

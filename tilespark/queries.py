@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,28 @@ def _(s, d):
     return views.get_col(q_cells(s, d), q_meta(s, d), 2)
 
 
+@query("get_line", "E", "SELECT i, j, v FROM E WHERE i = 203")
+def _(s, d):
+    return views.get_line(e_cells(s, d), 203)
+
+
+@query("load_line", "E", "SELECT i, j, CAST(v AS DOUBLE) AS v FROM E WHERE i = 203")
+def _(s, d):
+    meta = e_meta(s, d)
+    path = f"{shared_folder(s)}/saved-{uuid.uuid4().hex}"
+    matrix.save(matrix.to_tiles(e_cells(s, d), meta), meta, path)
+    return matrix.load_line(s, path, 203)
+
+
+@query("saved_list", "", f"SELECT name, [n, {WIDTH}] AS shape, [100, w] AS tile FROM (SELECT count(*) AS n FROM embeddings) CROSS JOIN (VALUES ('narrow', 8), ('wide', 16)) t(name, w)")
+def _(s, d):
+    folder = f"{shared_folder(s)}/saved-{uuid.uuid4().hex}"
+    for name, width in (("narrow", 8), ("wide", 16)):
+        meta = e_meta(s, d, (100, width))
+        matrix.save(matrix.to_tiles(e_cells(s, d), meta), meta, f"{folder}/{name}")
+    return matrix.saved(s, folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "shape", "tile")
+
+
 # Views
 
 
@@ -156,6 +179,21 @@ def _(s, d):
     return views.submatrix(e_cells(s, d), e_meta(s, d), [3], 3)[0]
 
 
+@query("view_blocks_missing", "Q", "SELECT CAST(a.bi AS INTEGER) AS bi, CAST(b.bj AS INTEGER) AS bj FROM (SELECT (SELECT count(*) FROM part) AS m, (SELECT count(*) FROM supplier) AS k) n, range(0, 1 + (n.k - 1) // 7) a(bi), range(0, (2 + (n.m - 1) // 250) // 2) b(bj) WHERE (bi, bj) NOT IN (SELECT j // 7, i // 500 FROM Q WHERE v > 150 AND (i // 250) % 2 = 0)")
+def _(s, d):
+    """The missing blocks of a transposed view of every second block row."""
+    cells, meta = views.submatrix(q_cells(s, d).where("v > 150"), q_meta(s, d), [0, None, 2])
+    return matrix.blocks_missing(views.transpose(cells), Meta(meta.shape[::-1], meta.tile[::-1])).select("bi", "bj")
+
+
+@query("subtensor", "", "SELECT user_id - 16 AS x, d // 14 * 7 + d % 7 AS y, z - 6 AS z, v FROM (SELECT user_id, CAST(extract(day FROM ts) AS BIGINT) AS d, CAST(extract(hour FROM ts) AS BIGINT) AS z, count(*) AS v FROM events GROUP BY ALL) WHERE user_id BETWEEN 16 AND 47 AND d // 7 IN (0, 2, 4) AND z >= 6")
+def _(s, d):
+    """A strided view over three axes: users, every second week, the hours from six on."""
+    cells = table(s, d, "events").groupBy(F.col("user_id").alias("x"), F.dayofmonth("ts").cast("long").alias("y"), F.hour("ts").cast("long").alias("z")).agg(F.count(F.lit(1)).alias("v"))
+    n = table(s, d, "events").agg(F.max("user_id")).first()[0] + 1
+    return views.submatrix(cells, Meta((n, 32, 24), (16, 7, 6)), [1, 3], [0, None, 2], [1, None], axes=("x", "y", "z"))[0]
+
+
 @query("transpose", "E", "SELECT j AS i, i AS j, v FROM E")
 def _(s, d):
     return views.transpose(e_cells(s, d))
@@ -187,10 +225,9 @@ def _(s, d):
     return views.with_ridge(e_gram(s, d), F.lit(1000))
 
 
-@query("parent_constant", "Q", "SELECT a.i, b.j, coalesce(v, -1) AS v FROM range(0, (SELECT count(*) FROM part)) a(i) CROSS JOIN range(0, (SELECT count(*) FROM supplier)) b(j) LEFT JOIN Q ON Q.i = a.i AND Q.j = b.j WHERE a.i < 500")
+@query("parent_constant", "Q", "SELECT a.i, b.j, coalesce(v, -1) AS v FROM range(0, (SELECT count(*) FROM part)) a(i) CROSS JOIN range(0, (SELECT count(*) FROM supplier)) b(j) LEFT JOIN Q ON Q.i = a.i AND Q.j = b.j")
 def _(s, d):
-    meta = q_meta(s, d)
-    return matrix.with_parent(q_cells(s, d).where("i < 500"), Meta((min(500, meta.shape[0]), meta.shape[1]), meta.tile), F.lit(-1).cast("long"))
+    return matrix.with_parent(q_cells(s, d), q_meta(s, d), F.lit(-1).cast("long"))
 
 
 _TILE_SUMS = "SELECT CAST(i // {a} AS INTEGER) AS bi, CAST(j // {b} AS INTEGER) AS bj, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM E GROUP BY ALL"
@@ -393,9 +430,9 @@ for _op, _sql in (("min", "least(min(v), 0)"), ("max", "greatest(max(v), 0)"), (
     query(f"{_op}_total", "Q", f"SELECT {_sql} AS v FROM Q")(lambda s, d, op=_op: (rounded if op == "norm" else lambda x: x)(reduce.reduce(q_cells(s, d), op, None, 1 << 62)))
 
 
-@query("prod_by_row", "U", "SELECT i, CASE WHEN count(*) < 5 THEN 0.0 ELSE round(exp(sum(ln(v))) / 1000, 0) END AS v FROM U GROUP BY i")
+@query("prod_by_row", "U", "SELECT i, CASE WHEN count(*) < 5 THEN 0.0 ELSE product(v) END AS v FROM U GROUP BY i")
 def _(s, d):
-    return reduce.reduce(u_cells(s, d), "prod", "i", len(TYPES)).withColumn("v", F.round(F.col("v") / 1000, 0))
+    return reduce.reduce(u_cells(s, d), "prod", "i", len(TYPES))
 
 
 _ARG = "SELECT {axis}, \"at\", CAST(v AS DOUBLE) AS v FROM (SELECT {axis}, {other} AS \"at\", v, row_number() OVER (PARTITION BY {axis} ORDER BY v {desc}, {other}) AS r FROM {table}) WHERE r = 1"
@@ -549,12 +586,118 @@ def _(s, d):
     return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 5).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))
 
 
-@query("bidiagonal_small", "E G", f"SELECT CAST(8 AS BIGINT) AS n, round(sum(v * v), 6) AS squares FROM ({_S}) WHERE i < 8 AND j < 8")
+@query("bidiagonal", "E G", f"SELECT CAST({WIDTH} AS BIGINT) AS n, round(sum(v * v), 5) AS squares, round(sum(CASE WHEN i = j THEN v END), 5) AS total FROM ({_S})")
 def _(s, d):
-    a = matrix.to_numpy(_scaled(s, d).where("i < 8 and j < 8"), (8, 8))
-    diagonal, over = kernels.bidiagonal(a)
-    rows = [(float(x),) for x in [*diagonal, *over]]
-    return s.createDataFrame(rows, "v double").agg(F.lit(8).cast("long").alias("n"), F.round(F.sum(F.col("v") * F.col("v")), 6).alias("squares"))
+    """Of a symmetric positive matrix the singular values sum up to the trace, so they are recomputed from the two diagonals."""
+    diagonal, over = kernels.bidiagonal(matrix.to_numpy(_scaled(s, d), (WIDTH, WIDTH)))
+    values = np.linalg.svd(np.diag(diagonal) + np.diag(over, 1), compute_uv=False)
+    rows = s.createDataFrame([(float(x),) for x in [*diagonal, *over]], "v double").agg(F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))
+    return rows.select(F.lit(len(diagonal)).cast("long").alias("n"), "squares", F.round(F.lit(float(values.sum())), 5).alias("total"))
+
+
+_ONE = f"SELECT a.i, b.j, CASE WHEN a.i = b.j THEN 1.0 ELSE 0.0 END AS v FROM range(0, {WIDTH}) a(i), range(0, {WIDTH}) b(j)"
+_S_NEAR = f"SELECT i, j, round(v + 0.0, 6) AS v FROM ({_S})"
+
+
+def _identity(s, meta):
+    return matrix.from_numpy(s, np.eye(WIDTH), meta.tile)
+
+
+def _cells_near(tiles, meta):
+    return matrix.to_cells(tiles, meta).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def _squared(q, meta):
+    cells = matrix.to_cells(q, meta)
+    return gemm.gemm(cells, cells, transpose_x=True).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("qr_orthogonal", "", _ONE)
+def _(s, d):
+    """QᵀQ."""
+    q = factor.qr_factors(matrix.to_tiles(_scaled(s, d), SMALL), SMALL)[1]
+    return _squared(q.times(_identity(s, SMALL), SMALL), SMALL)
+
+
+@query("qr_product", "E G", _S_NEAR)
+def _(s, d):
+    """Q R, with ragged tiles and five block rows."""
+    r, q = factor.qr_factors(matrix.to_tiles(_scaled(s, d), RAGGED), RAGGED)
+    return _cells_near(q.times(r, RAGGED), RAGGED)
+
+
+@query("qr_transposed", "E G", "SELECT i, CAST(0 AS BIGINT) AS j, CAST(round(sum(v * (j + 1)), 0) AS BIGINT) AS v FROM (" + _A + ") GROUP BY i")
+def _(s, d):
+    """A x from R x by Q, with x = 1, 2, ... and columns of another width than the tiles."""
+    cells = _a_cells(s, d)
+    r, q = factor.qr_factors(matrix.to_tiles(cells, SMALL), SMALL)
+    x = s.range(WIDTH).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("v"))
+    b = gemm.gemv(matrix.to_cells(r, SMALL), x).select("i", F.lit(0).cast("long").alias("j"), "v")
+    one = Meta((WIDTH, 1), (16, 1))
+    return matrix.to_cells(q.times(matrix.to_tiles(b, one), one), one).select("i", "j", F.round("v", 0).cast("long").alias("v"))
+
+
+def _bdfac_whole(s, d, truncate):
+    """Q (band + rest) Pᵀ."""
+    band, rest, q, p = factor.bdfac_factors(matrix.to_tiles(_scaled(s, d), SMALL), SMALL, truncate)
+    left = matrix.to_cells(q.times(band.unionByName(rest), SMALL), SMALL)
+    turned = p.times(matrix.to_tiles(views.transpose(left), SMALL), SMALL)
+    return views.transpose(_cells_near(turned, SMALL))
+
+
+@query("bdfac_product", "E G", _S_NEAR)
+def _(s, d):
+    return _bdfac_whole(s, d, 0)
+
+
+@query("bdfac_truncated", "E G", _S_NEAR)
+def _(s, d):
+    return _bdfac_whole(s, d, 2)
+
+
+@query("bdfac_orthogonal", "", _ONE)
+def _(s, d):
+    """PᵀP of the right factor."""
+    p = factor.bdfac_factors(matrix.to_tiles(_scaled(s, d), SMALL), SMALL)[3]
+    return _squared(p.times(_identity(s, SMALL), SMALL), SMALL)
+
+
+def _vector_rows(s, d):
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000 + 0.5)).alias("vec"))
+    return rows, F.col("vec")
+
+
+def _row_cells(rows):
+    return matrix.cells_from_rows(rows, "id", "vec", lambda x: x)
+
+
+@query("tsqr_orthogonal", "", _ONE)
+def _(s, d):
+    q = _row_cells(factor.tsqr_factors(*_vector_rows(s, d), WIDTH)[0])
+    return gemm.gemm(q, q, transpose_x=True).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("tsqr_product", "E", "SELECT i, j, v FROM E")
+def _(s, d):
+    q, r = factor.tsqr_factors(*_vector_rows(s, d), WIDTH)
+    right = matrix.to_cells(matrix.from_numpy(s, r, (16, 16)), SMALL)
+    return _near(gemm.gemm(_row_cells(q), right))
+
+
+@query("svd_tall_product", "E", "SELECT i, j, v FROM E")
+def _(s, d):
+    """U diag(s) Vᵀ."""
+    u, values, v = factor.svd_tall(*_vector_rows(s, d), WIDTH)
+    right = matrix.to_cells(matrix.from_numpy(s, values[:, None] * v.T, (16, 16)), SMALL)
+    return _near(gemm.gemm(_row_cells(u), right))
+
+
+@query("qr_ols", "", _OLS)
+def _(s, d):
+    """The regression of ``posv_ols`` by QR, without forming the normal equations."""
+    rows = table(s, d, "lineitem")
+    x = factor.least_squares(rows, F.array(F.lit(1.0), F.col("l_quantity")), F.col("l_extendedprice"), 2)
+    return s.createDataFrame([tuple(float(v) for v in x)], "intercept double, slope double").select(F.round("intercept", 3).alias("intercept"), F.round("slope", 3).alias("slope"))
 
 
 @query("singular_values_tall", "", "SELECT round(sum(CAST(x AS DOUBLE) * x), 5) AS squares FROM (SELECT unnest(embedding) AS x FROM embeddings)")
@@ -566,31 +709,39 @@ def _(s, d):
 # Neighbours
 
 _VEC = "SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 10000 + 0.5)) AS v, label FROM embeddings"
-_NN = f"SELECT q.vec_id AS i, d.vec_id AS j, CAST(list_dot_product(q.v, q.v) + list_dot_product(d.v, d.v) - 2 * list_dot_product(q.v, d.v) AS BIGINT) AS v, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, q.v) + list_dot_product(d.v, d.v) - 2 * list_dot_product(q.v, d.v), d.vec_id) AS place, q.label AS own, d.label AS near FROM ({_VEC}) q, ({_VEC}) d WHERE q.vec_id % 2 = 1 AND d.vec_id % 2 = 0"
+_APART = "list_dot_product(q.v, q.v) + list_dot_product(d.v, d.v) - 2 * list_dot_product(q.v, d.v)"
+_NN = f"SELECT q.vec_id AS i, d.vec_id AS j, CAST({_APART} AS BIGINT) AS v, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_APART}, d.vec_id) AS place, q.label AS own, d.label AS near FROM ({_VEC}) q, ({_VEC}) d WHERE {{}}"
+#: Searches ask with every fiftieth row, against all others; the accuracy trains on even rows and tests on odd ones.
+_FIFTIETH, _SPLIT = "q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id", "q.vec_id % 2 = 1 AND d.vec_id % 2 = 0"
+
+
+def _vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000 + 0.5).cast("double")).alias("vec"))
 
 
 def _nearest(s, d, k):
-    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000 + 0.5).cast("double")).alias("vec"))
-    return neighbors.nearest(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), k).select("i", "j", F.col("v").cast("long").alias("v"), F.col("place").cast("long").alias("place"))
+    rows = _vectors(s, d)
+    return neighbors.nearest(rows.where("id % 50 = 0"), rows, k, others=True).select("i", "j", F.col("v").cast("long").alias("v"), F.col("place").cast("long").alias("place"))
 
 
-@query("nearest_neighbor", "", f"SELECT i, j, v, place FROM ({_NN}) WHERE place = 1")
+@query("nearest_neighbor", "", f"SELECT i, j, v, place FROM ({_NN.format(_FIFTIETH)}) WHERE place = 1")
 def _(s, d):
     return _nearest(s, d, 1)
 
 
-@query("nn_topk", "", f"SELECT i, j, v, place FROM ({_NN}) WHERE place <= 5")
+@query("nn_topk", "", f"SELECT i, j, v, place FROM ({_NN.format(_FIFTIETH)}) WHERE place <= 5")
 def _(s, d):
     return _nearest(s, d, 5)
 
 
-@query("nn_accuracy", "", f"SELECT round(avg(CASE WHEN own = near THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_NN}) WHERE place = 1")
+@query("nn_accuracy", "", f"SELECT round(avg(CASE WHEN own = near THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_NN.format(_SPLIT)}) WHERE place = 1")
 def _(s, d):
-    labels = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return neighbors.accuracy(_nearest(s, d, 1), labels).select(F.round("accuracy", 6).alias("accuracy"))
+    rows, labels = _vectors(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    found = neighbors.nearest(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"))
+    return neighbors.accuracy(found, labels).select(F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("distances", "U", "SELECT a.i AS i, b.i AS j, CAST(sum(a.v * a.v) + sum(b.v * b.v) - 2 * sum(a.v * b.v) AS BIGINT) AS v FROM (SELECT x.i, y.j, coalesce(U.v, 0) AS v FROM (SELECT DISTINCT i FROM U) x CROSS JOIN range(0, 5) y(j) LEFT JOIN U ON U.i = x.i AND U.j = y.j) a JOIN (SELECT x.i, y.j, coalesce(U.v, 0) AS v FROM (SELECT DISTINCT i FROM U) x CROSS JOIN range(0, 5) y(j) LEFT JOIN U ON U.i = x.i AND U.j = y.j) b USING (j) GROUP BY a.i, b.i HAVING sum(a.v * b.v) > 0")
+@query("distances", "U", "SELECT a.i AS i, b.i AS j, CAST(sum(a.v * a.v) + sum(b.v * b.v) - 2 * sum(a.v * b.v) AS BIGINT) AS v FROM (SELECT x.i, y.j, coalesce(U.v, 0) AS v FROM (SELECT DISTINCT i FROM U) x CROSS JOIN range(0, 5) y(j) LEFT JOIN U ON U.i = x.i AND U.j = y.j) a JOIN (SELECT x.i, y.j, coalesce(U.v, 0) AS v FROM (SELECT DISTINCT i FROM U) x CROSS JOIN range(0, 5) y(j) LEFT JOIN U ON U.i = x.i AND U.j = y.j) b USING (j) GROUP BY a.i, b.i")
 def _(s, d):
     u = u_cells(s, d)
     return neighbors.distances(u, u)
@@ -606,11 +757,62 @@ _PROGRAMS = {
     "qr": (program.qr_program(5), 118, 213, 17, 5, 38),
     "bdfac": (program.bdfac_program(5), 178, 352, 30, 5, 45),
 }
+#: Tasks ``stmt, i, j, k, level`` and edges, as closed forms in SQL; absent variables are -1.
+_TASKS_SQL = {
+    "gemm": """SELECT 0 AS stmt, i, j, k, NULL AS level FROM range(0, 2) a(i), range(0, 3) b(j), range(0, 5) c(k)
+        UNION ALL SELECT 1, i, j, k, level FROM range(0, 2) a(i), range(0, 3) b(j), (VALUES (0, 0), (0, 4), (1, 0)) c(level, k)
+        UNION ALL SELECT 2, i, j, NULL, NULL FROM range(0, 2) a(i), range(0, 3) b(j)""",
+    "tsqr": "SELECT 0 AS stmt, NULL AS i, j, NULL AS k, NULL AS level FROM range(0, 5) a(j) UNION ALL SELECT 1, NULL, j, NULL, level FROM range(0, 3) a(level), range(0, 5) b(j) WHERE j % (2 << level) = 0",
+}
+_CHOL_TASKS = """SELECT CASE WHEN i = 0 THEN 0 ELSE 3 END AS stmt, CASE WHEN i > 0 THEN i END AS i, NULL AS j, NULL AS k, NULL AS level FROM range(0, {n}) a(i)
+        UNION ALL SELECT CASE WHEN i = 0 THEN 1 ELSE 4 END, CASE WHEN i > 0 THEN i END, j, NULL, NULL FROM range(0, {n}) a(i), range(i + 1, {n}) b(j)
+        UNION ALL SELECT CASE WHEN i = 0 THEN 2 ELSE 5 END, CASE WHEN i > 0 THEN i END, j, k, NULL FROM range(0, {n}) a(i), range(i + 1, {n}) b(j), range(i + 1, j + 1) c(k)"""
+#: Parent and child as (kind, i, j, k): chol at step i, trsm of row j, update of tile j, k.
+_CHOL_EDGES = """SELECT 'c' AS pk, i AS pi, i AS pj, i AS pl, 't' AS ck, i AS ci, j AS cj, i AS cl FROM range(0, {n}) a(i), range(i + 1, {n}) b(j)
+    UNION ALL SELECT 't', i, j, i, 's', i, j, k FROM range(0, {n}) a(i), range(i + 1, {n}) b(j), range(i + 1, j + 1) c(k)
+    UNION ALL SELECT 't', i, k, i, 's', i, j, k FROM range(0, {n}) a(i), range(i + 1, {n}) b(j), range(i + 1, j) c(k)
+    UNION ALL SELECT 's', i, j, k, CASE WHEN j = i + 1 THEN 'c' WHEN k = i + 1 THEN 't' ELSE 's' END, i + 1, j, k FROM range(0, {n}) a(i), range(i + 1, {n}) b(j), range(i + 1, j + 1) c(k)"""
+
+
+def _chol_task(prefix, kind, i, j, k):
+    stmt = f"CASE {kind} WHEN 'c' THEN 0 WHEN 't' THEN 1 ELSE 2 END + CASE WHEN {i} > 0 THEN 3 ELSE 0 END"
+    return f"{stmt} AS {prefix}stmt, CASE WHEN {i} > 0 THEN {i} END AS {prefix}i, CASE WHEN {kind} <> 'c' THEN {j} END AS {prefix}j, CASE WHEN {kind} = 's' THEN {k} END AS {prefix}k, NULL AS {prefix}level"
+
+
+_CHOL = f"SELECT {_chol_task('p_', 'pk', 'pi', 'pj', 'pl')}, {_chol_task('c_', 'ck', 'ci', 'cj', 'cl')} FROM ({_CHOL_EDGES})"
+_EDGES_SQL = {
+    "gemm": """SELECT 0 AS p_stmt, i AS p_i, j AS p_j, k AS p_k, NULL AS p_level, 1 AS c_stmt, i AS c_i, j AS c_j, k // 4 * 4 AS c_k, 0 AS c_level FROM range(0, 2) a(i), range(0, 3) b(j), range(0, 5) c(k)
+        UNION ALL SELECT 1, i, j, k, 0, 1, i, j, 0, 1 FROM range(0, 2) a(i), range(0, 3) b(j), (VALUES (0), (4)) c(k)
+        UNION ALL SELECT 1, i, j, 0, 1, 2, i, j, NULL, NULL FROM range(0, 2) a(i), range(0, 3) b(j)""",
+    "tsqr": """SELECT 0 AS p_stmt, NULL AS p_i, j AS p_j, NULL AS p_k, NULL AS p_level, 1 AS c_stmt, NULL AS c_i, j // 2 * 2 AS c_j, NULL AS c_k, 0 AS c_level FROM range(0, 5) a(j)
+        UNION ALL SELECT 1, NULL, j, NULL, level, 1, NULL, j // (4 << level) * (4 << level), NULL, level + 1 FROM range(0, 2) a(level), range(0, 5) b(j) WHERE j % (2 << level) = 0""",
+}
+for _name, _n in (("chol", 8), ("chol_truncated", 6)):
+    _TASKS_SQL[_name], _EDGES_SQL[_name] = _CHOL_TASKS.format(n=_n), _CHOL.format(n=_n)
+
+
+def _whole_numbers(sql):
+    return f"SELECT CAST(coalesce(COLUMNS(*), -1) AS INTEGER) FROM ({sql})"
+
+
+def _flat(task, prefix=""):
+    return [F.coalesce(F.col(f"{task}.{c}" if task else c), F.lit(-1)).alias(prefix + c) for c in ("stmt", *program.VARIABLES)]
+
+
+#: Counts of the two largest programs are numbers worked out by hand; the smaller ones are compared task by task and edge by edge.
 for _name, (_p, _tasks, _edges, _depth, _starts, _ends) in _PROGRAMS.items():
-    query(f"{_name}_edges", "", f"SELECT CAST({_edges} AS BIGINT) AS n")(lambda s, d, p=_p: p.edges(s).agg(F.count(F.lit(1)).alias("n")))
-    query(f"{_name}_tasks", "", f"SELECT CAST({_tasks} AS BIGINT) AS n")(lambda s, d, p=_p: p.tasks(s).agg(F.count(F.lit(1)).alias("n")))
-    query(f"{_name}_starters", "", f"SELECT CAST({_starts} AS BIGINT) AS n")(lambda s, d, p=_p: p.starters(s).agg(F.count(F.lit(1)).alias("n")))
-    query(f"{_name}_terminators", "", f"SELECT CAST({_ends} AS BIGINT) AS n")(lambda s, d, p=_p: p.terminators(s).agg(F.count(F.lit(1)).alias("n")))
+    if _name in _TASKS_SQL:
+        _all = _TASKS_SQL[_name]
+        _ender = {"gemm": "stmt = 2", "tsqr": "true"}.get(_name, "stmt IN (0, 1, 3, 4)")
+        query(f"{_name}_edges", "", _whole_numbers(_EDGES_SQL[_name]))(lambda s, d, p=_p: p.edges(s).select(*_flat("parent", "p_"), *_flat("child", "c_")))
+        query(f"{_name}_tasks", "", _whole_numbers(_all))(lambda s, d, p=_p: p.tasks(s).select(*_flat("")))
+        query(f"{_name}_starters", "", _whole_numbers(f"SELECT * FROM ({_all}) WHERE stmt = 0"))(lambda s, d, p=_p: p.starters(s).select(*_flat("task")))
+        query(f"{_name}_terminators", "", _whole_numbers(f"SELECT * FROM ({_all}) WHERE {_ender}"))(lambda s, d, p=_p: p.terminators(s).select(*_flat("task")))
+    else:
+        query(f"{_name}_edges", "", f"SELECT CAST({_edges} AS BIGINT) AS n")(lambda s, d, p=_p: p.edges(s).agg(F.count(F.lit(1)).alias("n")))
+        query(f"{_name}_tasks", "", f"SELECT CAST({_tasks} AS BIGINT) AS n")(lambda s, d, p=_p: p.tasks(s).agg(F.count(F.lit(1)).alias("n")))
+        query(f"{_name}_starters", "", f"SELECT CAST({_starts} AS BIGINT) AS n")(lambda s, d, p=_p: p.starters(s).agg(F.count(F.lit(1)).alias("n")))
+        query(f"{_name}_terminators", "", f"SELECT CAST({_ends} AS BIGINT) AS n")(lambda s, d, p=_p: p.terminators(s).agg(F.count(F.lit(1)).alias("n")))
     query(f"{_name}_ssa_check", "", "SELECT CAST(0 AS BIGINT) AS n")(lambda s, d, p=_p: p.doubly_written(s).agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -619,9 +821,10 @@ def _(s, d):
     return program.cholesky_program(8).tasks(s).where("stmt = 5").select("stmt", "i", "j", "k")
 
 
-@query("chol_levels", "", "SELECT 22 AS depth")
+@query("chol_levels", "", "SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n FROM (SELECT 3 * i + 1 AS depth FROM range(0, 8) a(i) UNION ALL SELECT 3 * i + 2 FROM range(0, 8) a(i), range(i + 1, 8) b(j) UNION ALL SELECT 3 * i + 3 FROM range(0, 8) a(i), range(i + 1, 8) b(j), range(i + 1, j + 1) c(k)) GROUP BY ALL")
 def _(s, d):
-    return program.cholesky_program(8).levels(s).agg(F.max("depth").alias("depth"))
+    """A step's factor, panel and update come three levels after those of the step before."""
+    return program.cholesky_program(8).levels(s).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tsqr_levels", "", "SELECT depth, CAST(n AS BIGINT) AS n FROM (VALUES (1, 5), (2, 3), (3, 2), (4, 1)) t(depth, n)")
@@ -629,14 +832,79 @@ def _(s, d):
     return program.tsqr_program(5).levels(s).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("chol_flops", "", "SELECT kernel, CAST(tasks AS BIGINT) AS tasks, CAST(tasks * each AS DOUBLE) AS flops FROM (VALUES ('chol', 8, 96.0 * 96 * 96 / 3), ('trsm', 28, 96.0 * 96 * 96), ('syrk', 84, 2 * 96.0 * 96 * 96 + 96 * 96)) t(kernel, tasks, each)")
+_FLOPS_SQL = "SELECT kernel, CAST(sum(tasks) AS BIGINT) AS tasks, CAST(sum(tasks * each) AS DOUBLE) AS flops FROM (VALUES {}) t(kernel, tasks, each) GROUP BY kernel"
+_B3 = "96.0::DOUBLE * 96 * 96"
+_REFLECT = {"leaf": f"3 * {_B3} + 96 * 96", "pair": f"4 * {_B3} + 96 * 96", "one": f"{_B3} * 4 / 3", "two": f"{_B3} * 10 / 3"}
+for _name, _p, _rows in (
+    ("chol", program.cholesky_program(8), f"('chol', 8, {_B3} / 3), ('trsm', 28, {_B3}), ('syrk', 84, 2 * {_B3} + 96 * 96)"),
+    ("gemm", program.gemm_program(2, 3, 5), f"('gemm', 30, 2 * {_B3}), ('add_matrices', 18, 3.0 * 96 * 96), ('identity', 6, 0.0)"),
+    ("tsqr", program.tsqr_program(4), f"('qr_factor', 4, {_REFLECT['one']}), ('qr_factor', 3, {_REFLECT['two']})"),
+    ("qr", program.qr_program(2), f"('qr_factor', 3, {_REFLECT['one']}), ('qr_factor_triangular', 1, {_REFLECT['two']}), ('qr_leaf', 2, {_REFLECT['leaf']}), ('qr_trailing_update', 1, {_REFLECT['pair']}), ('identity', 1, 0.0)"),
+    ("bdfac", program.bdfac_program(2), f"('qr_factor', 3, {_REFLECT['one']}), ('qr_factor', 1, {_REFLECT['two']}), ('qr_leaf', 2, {_REFLECT['leaf']}), ('qr_trailing_update', 1, {_REFLECT['pair']}), ('lq_factor', 1, {_REFLECT['one']}), ('lq_leaf', 1, {_REFLECT['leaf']})"),
+):
+    query(f"{_name}_flops", "", _FLOPS_SQL.format(_rows))(lambda s, d, p=_p: program.flops(p, s, 96))
+
+
+@query("chol_counters", "", f"SELECT kernel, tasks, CAST(tasks * reads AS BIGINT) AS tiles_read, CAST(tasks AS BIGINT) AS tiles_written, CAST(tasks * reads * 8 * 96 * 96 AS BIGINT) AS bytes_read FROM (SELECT kernel, count(*) AS tasks, max(reads) AS reads FROM (SELECT CASE stmt % 3 WHEN 0 THEN 'chol' WHEN 1 THEN 'trsm' ELSE 'syrk' END AS kernel, stmt % 3 + 1 AS reads FROM ({_TASKS_SQL['chol']})) GROUP BY kernel)")
+def _(s, d):
+    return program.counters(program.cholesky_program(8), s, 96).select("kernel", "tasks", "tiles_read", "tiles_written", "bytes_read")
+
+
+@query("chol_status", "", "SELECT status, CAST(n AS BIGINT) AS tasks FROM (VALUES ('FINISHED', 8), ('READY', 28), ('NOT_READY', 84)) t(status, n)")
+def _(s, d):
+    """Once the first factor and its panel are done, all updates of the first step can run, and nothing else."""
+    p = program.cholesky_program(8)
+    done = p.tasks(s).where("stmt <= 1").select(F.struct("stmt", *program.VARIABLES).alias("task"))
+    return program.status(p, s, done)
+
+
+TRIANGLE = """
+def triangle(A, B, N):
+    for i in range(N):
+        for j in range(i + 1, N):
+            A[j, i] = identity(A[i, j])
+    for z in range(N):
+        for k in range(N):
+            B[z, k] = identity(A[z, k])
+"""
+BRANCHES = """
+def branches(X, O, N):
+    for i in range(N):
+        if i % 2 == 0:
+            if i % 3 == 0 or i == 8:
+                O[i] = triple(X[i])
+            else:
+                O[i] = identity(X[i])
+        else:
+            O[i] = double(X[i])
+"""
+HALVING = """
+def halving(A, B, N):
+    for i in range(N):
+        depth = ceiling(log(N - i) / log(2))
+        for level in range(0, ceiling(log(N - i) / log(2))):
+            for k in range(0, N, 2 ** (level + 1)):
+                A[depth - level - 1, i, k] = add(A[depth - level, i, k], A[depth - level, i, k + 2 ** level])
+        B[i] = identity(A[1, i, 0])
+"""
+
+
+@query("compiled_edges", "", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(j AS INTEGER) AS z, CAST(i AS INTEGER) AS k FROM range(0, 6) a(i), range(i + 1, 6) b(j)")
+def _(s, d):
+    """Of a program given as text: the tasks that mirror a triangle, and those that copy what they wrote."""
+    p = program.compiled(TRIANGLE, ("A",), ("B",), N=6)
+    return p.edges(s).select("parent.i", "parent.j", "child.z", "child.k")
+
+
+@query("compiled_branches", "", "SELECT CASE WHEN i % 2 = 1 THEN 'double' WHEN i % 3 = 0 OR i = 8 THEN 'triple' ELSE 'identity' END AS kernel, CAST(i AS INTEGER) AS i FROM range(0, 13) t(i)")
 def _(s, d):
-    return program.flops(program.cholesky_program(8).tasks(s), 96)
+    return program.compiled(BRANCHES, ("X",), ("O",), N=13).tasks(s).select("kernel", "i")
 
 
-@query("gemm_flops", "", "SELECT kernel, CAST(tasks AS BIGINT) AS tasks, CAST(tasks * each AS DOUBLE) AS flops FROM (VALUES ('gemm', 30, 2 * 96.0 * 96 * 96), ('add_matrices', 18, 3.0 * 96 * 96), ('identity', 6, 0.0)) t(kernel, tasks, each)")
+@query("compiled_halving", "", "SELECT CAST(i AS INTEGER) AS i, CAST(level AS INTEGER) AS level, CAST(k AS INTEGER) AS k FROM range(0, 8) a(i), range(0, 3) b(level), range(0, 8) c(k) WHERE (1 << level) < 8 - i AND k % (2 << level) = 0")
 def _(s, d):
-    return program.flops(program.gemm_program(2, 3, 5).tasks(s), 96)
+    """Bounds that are not linear in the loop's variables, through a local value."""
+    return program.compiled(HALVING, ("A",), ("B",), N=8).tasks(s).where("stmt = 0").select("i", "level", "k")
 
 
 _TASK = "CAST(stmt AS INTEGER) AS stmt, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k"

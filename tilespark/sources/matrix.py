@@ -57,12 +57,12 @@ def from_numpy(spark: SparkSession, a: np.ndarray, tile: tuple[int, int]) -> Dat
 
 
 def to_numpy(cells: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The whole matrix on the driver; refused beyond ``MOST_LOCAL_CELLS`` cells."""
+    """The whole matrix on the driver, as Arrow batches; refused beyond ``MOST_LOCAL_CELLS`` cells."""
     if shape[0] * shape[1] > MOST_LOCAL_CELLS:
         raise ValueError(f"{shape} is too large to collect")
     out = np.zeros(shape)
-    for r in cells.select("i", "j", "v").collect():
-        out[r.i, r.j] = r.v
+    found = cells.select("i", "j", "v").toArrow()
+    out[found["i"].to_numpy(), found["j"].to_numpy()] = found["v"].to_numpy()
     return out
 
 
@@ -131,6 +131,29 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, Meta]:
     return spark.read.parquet(f"{path}/tiles"), meta
 
 
+def load_line(spark: SparkSession, path: str, i: int) -> DataFrame:
+    """Cells of one row of a saved matrix: only its block row's files are read, and only the row's part of each tile is kept."""
+    tiles, meta = load(spark, path)
+    part = tiles.where(F.col("bi") == i // meta.tile[0]).select("bj", F.slice("data", F.lit(i % meta.tile[0]) * F.col("ncols") + 1, F.col("ncols")).alias("data"))
+    each = part.select("bj", F.posexplode("data").alias("p", "v"))
+    return each.select(F.lit(i).cast("long").alias("i"), (F.col("bj").cast("long") * meta.tile[1] + F.col("p")).alias("j"), "v")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a matrix has been saved at ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def saved(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, shape, tile`` of every matrix saved in a folder, from their headers alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/header")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    paths = [f.getPath().toString() for f in found or []]
+    rows = spark.read.text(paths).select(F.regexp_replace(F.input_file_name(), "/header/[^/]*$", "").alias("path"), F.from_json("value", "shape array<long>, tile array<long>").alias("h")) if paths else None
+    return rows.select("path", "h.shape", "h.tile") if paths else spark.createDataFrame([], "path string, shape array<long>, tile array<long>")
+
+
 def free(spark: SparkSession, path: str) -> bool:
     """Delete a saved matrix, tiles and header."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
