@@ -152,13 +152,13 @@ def _(s, d):
     return matrix.load_line(s, path, 203)
 
 
-@query("saved_list", "", f"SELECT name, [n, {WIDTH}] AS shape, [100, w] AS tile FROM (SELECT count(*) AS n FROM embeddings) CROSS JOIN (VALUES ('narrow', 8), ('wide', 16)) t(name, w)")
+@query("saved_list", "", f"SELECT name, n || ',{WIDTH}' AS shape, '100,' || w AS tile FROM (SELECT count(*) AS n FROM embeddings) CROSS JOIN (VALUES ('narrow', 8), ('wide', 16)) t(name, w)")
 def _(s, d):
     folder = f"{shared_folder(s)}/saved-{uuid.uuid4().hex}"
     for name, width in (("narrow", 8), ("wide", 16)):
         meta = e_meta(s, d, (100, width))
         matrix.save(matrix.to_tiles(e_cells(s, d), meta), meta, f"{folder}/{name}")
-    return matrix.saved(s, folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "shape", "tile")
+    return matrix.saved(s, folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("shape", "tile")])
 
 
 # Views
@@ -596,7 +596,6 @@ def _(s, d):
 
 
 _ONE = f"SELECT a.i, b.j, CASE WHEN a.i = b.j THEN 1.0 ELSE 0.0 END AS v FROM range(0, {WIDTH}) a(i), range(0, {WIDTH}) b(j)"
-_S_NEAR = f"SELECT i, j, round(v + 0.0, 6) AS v FROM ({_S})"
 
 
 def _identity(s, meta):
@@ -604,7 +603,8 @@ def _identity(s, meta):
 
 
 def _cells_near(tiles, meta):
-    return matrix.to_cells(tiles, meta).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    """The scaled matrix as whole numbers again."""
+    return matrix.to_cells(tiles, meta).select("i", "j", F.round(F.col("v") * float(RIDGE), 0).cast("long").alias("v"))
 
 
 def _squared(q, meta):
@@ -619,7 +619,7 @@ def _(s, d):
     return _squared(q.times(_identity(s, SMALL), SMALL), SMALL)
 
 
-@query("qr_product", "E G", _S_NEAR)
+@query("qr_product", "E G", _A_NEAR)
 def _(s, d):
     """Q R, with ragged tiles and five block rows."""
     r, q = factor.qr_factors(matrix.to_tiles(_scaled(s, d), RAGGED), RAGGED)
@@ -645,12 +645,12 @@ def _bdfac_whole(s, d, truncate):
     return views.transpose(_cells_near(turned, SMALL))
 
 
-@query("bdfac_product", "E G", _S_NEAR)
+@query("bdfac_product", "E G", _A_NEAR)
 def _(s, d):
     return _bdfac_whole(s, d, 0)
 
 
-@query("bdfac_truncated", "E G", _S_NEAR)
+@query("bdfac_truncated", "E G", _A_NEAR)
 def _(s, d):
     return _bdfac_whole(s, d, 2)
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +48,15 @@ def cells_from_table(df: DataFrame, i: str, j: str, v: Column) -> DataFrame:
 
 
 def from_numpy(spark: SparkSession, a: np.ndarray, tile: tuple[int, int]) -> DataFrame:
-    """Tiles of a local array."""
-    rows = []
-    for bi in range(-(-a.shape[0] // tile[0])):
-        for bj in range(-(-a.shape[1] // tile[1])):
-            t = a[bi * tile[0] : (bi + 1) * tile[0], bj * tile[1] : (bj + 1) * tile[1]]
-            rows.append((bi, bj, t.shape[0], t.shape[1], t.astype(float).reshape(-1).tolist()))
-    return spark.createDataFrame(rows, TILES)
+    """Tiles of a local array, handed over as Arrow."""
+    places = [(bi, bj) for bi in range(-(-a.shape[0] // tile[0])) for bj in range(-(-a.shape[1] // tile[1]))]
+    cut = [a[bi * tile[0] : (bi + 1) * tile[0], bj * tile[1] : (bj + 1) * tile[1]].astype(float) for bi, bj in places]
+    if not cut:
+        return spark.createDataFrame([], TILES)
+    ints = lambda values: pa.array(list(values), pa.int32())
+    data = pa.ListArray.from_arrays(ints(np.cumsum([0, *[t.size for t in cut]])), pa.array(np.concatenate([t.reshape(-1) for t in cut])))
+    table = {"bi": ints(p[0] for p in places), "bj": ints(p[1] for p in places), "nrows": ints(t.shape[0] for t in cut), "ncols": ints(t.shape[1] for t in cut), "data": data}
+    return spark.createDataFrame(pa.table(table))
 
 
 def to_numpy(cells: DataFrame, shape: tuple[int, int]) -> np.ndarray:
