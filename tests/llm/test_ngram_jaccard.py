@@ -71,6 +71,40 @@ def test_hot_group_makes_few_pairs(spark):
     assert join.links.count() < 4000
 
 
+def test_near_but_unlike_group_makes_pairs_in_proportion(spark, monkeypatch):
+    """Documents around one base, most of them unlike each other: candidates must not grow with the square of the group."""
+    made = []
+    verified = ngram_jaccard.JaccardJoin._verified
+    monkeypatch.setattr(ngram_jaccard.JaccardJoin, "_verified", lambda self, pairs: made.append(pairs.count()) or verified(self, pairs))
+    rng = random.Random(600)
+    base = [f"b{k}" for k in range(150)]
+    rows = [(i, " ".join(edited(rng, base, 0.035))) for i in range(600)]
+    join = ngram_jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(repr(tuple(r)) for r in join.documents().collect()) == brute_force(rows)
+    assert sum(made) < 10 * len(rows)  # of 179,700 pairs
+
+
+def test_words_are_compared_not_hashes():
+    word = [0]
+    for _ in range(10):
+        word += [1 - x for x in word]
+    one, other = ("".join("ab"[x ^ k] for x in word).encode() for k in (0, 1))
+    for cut in (ngram_jaccard.shingles, ngram_jaccard.exact_shingles):
+        (x,), (y,) = cut([one])[:1], cut([other])[:1]
+        assert len(x) == len(y) == 1
+        a, b = cut([one, other])
+        assert a.tolist() != b.tolist()
+    text = "a b c d e f a b c d e X"
+    rng = random.Random(5)
+    texts = [text, text.upper(), "", "q", "Q", "a b", "b a"] + [" ".join(rng.choices("abc", k=rng.randrange(12))) for _ in range(200)]
+    sets, exact, plain = (f([t.encode() for t in texts]) for f in (ngram_jaccard.shingles, ngram_jaccard.exact_shingles, lambda x: [shingle_set(t) for t in texts]))
+    for s, e, p in zip(sets, exact, plain):
+        assert len(s) == len(e) == len(p)
+    for i in range(0, len(texts), 7):
+        for j in range(len(texts)):
+            assert len(set(sets[i].tolist()) & set(sets[j].tolist())) == len(set(exact[i].tolist()) & set(exact[j].tolist())) == len(plain[i] & plain[j])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_jaccard.JaccardJoin(docs).documents().collect() == []

@@ -8,10 +8,15 @@ shared with any class at all (positional filter). Counts of both sets in the sam
 overlap of what remains (suffix filter). A pair that passes is verified once, on whole texts.
 
 Links matter for what they connect, so no group's pairs are all made. First every posting list gives a star around its
-member with the fewest shingles of its own, and a chain by size: a pair per posting. Then each list gives the pairs between
-what are still different components, made from the members outside the list's largest component. A link inside a component
-adds nothing to it; all others are found. ``all_links`` makes and verifies every candidate pair of every list instead, which
-grows with the square of a group, and ``link_counts`` counts them per document.
+member with the fewest shingles of its own, its hub, and a chain by size: a pair per posting. Then short lists give the pairs
+between what are still different components. Near but unlike members of a long list are told apart by how they differ from
+the hub: ``x`` and ``y`` differ in as many shingles as their two symmetric differences from it do, so where not both are
+linked to the hub, a link makes those differences overlap by about half at least. They are joined like the sets before, rarest
+first by exact counts around the hub, and what only one member has takes its prefix up without meeting anyone. A link inside a
+component adds nothing to it; all others are found. ``all_links`` makes and verifies every candidate pair of every list
+instead, which grows with the square of a group, and ``link_counts`` counts them per document.
+
+Shingles are hashes of their words' hashes while pairs are sought; a pair is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -35,15 +41,15 @@ CHUNK_BITS = 16
 PARTS = 64
 BITMAP_BITS = 20
 LIST_BLOCK = 256
+#: Longer lists are joined by differences from their hubs.
+LIST_PAIRS = 64
+SALTS = 8
 SLICE_BYTES = 1 << 20
 
-_TABLE = np.random.default_rng(2024).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -54,38 +60,63 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text (UTF-8). A text of fewer words has one shingle, of them all."""
-    if not texts:
-        return []
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Which of the distinct lower-cased words each word of the texts (UTF-8) is, those words, and where each text's begin."""
     data = _LOWER[np.frombuffer(b" ".join([*texts, b""]) + b" ", np.uint8)]
     inside = _IN_WORD[data]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    bounds = np.concatenate([[0], np.searchsorted(starts, text_ends)])
-    if not len(starts):
+    bounds = np.concatenate([[0], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))])
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), bounds
+
+
+def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text (UTF-8). A text of fewer words has one shingle, of them all."""
+    codes, distinct, bounds = split_words(texts)
+    if not len(codes):
         return [np.empty(0, np.uint64)] * len(texts)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - 1, _BASE)]), dtype=np.uint64)
-        unpower = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - 1, _UNBASE)]), dtype=np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * power, dtype=np.uint64)])
-        word = _mixed((total[ends] - total[starts]) * unpower[starts] + (ends - starts).astype(np.uint64))
-        factors = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(words)]
-        n = len(word) - words + 1
-        run = np.zeros(max(0, n), np.uint64)
-        for k, f in enumerate(factors):
-            run += word[k : k + len(run)] * f
-        run = _mixed(run + np.uint64(words))
-        out = []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi - lo >= words:
-                out.append(np.unique(run[lo : hi - words + 1]))
-            elif hi > lo:
-                few = (word[lo:hi] * np.array(factors[: hi - lo])).sum(dtype=np.uint64) + np.uint64(hi - lo)
-                out.append(_mixed(np.array([few], np.uint64)))
-            else:
-                out.append(np.empty(0, np.uint64))
+    word = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)[codes]
+    n = max(0, len(word) - words + 1)
+    run = np.full(n, words, np.uint64)
+    for k in range(words):
+        run = _next(run, word[k : k + n])
+    run = _mixed(run)
+    out = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo >= words:
+            out.append(np.unique(run[lo : hi - words + 1]))
+        elif hi > lo:
+            few = np.full(1, hi - lo, np.uint64)
+            for k in range(lo, hi):
+                few = _next(few, word[k : k + 1])
+            out.append(_mixed(few))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def _next(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    run = (run ^ word) * np.uint64(0x9E3779B97F4A7C15)
+    return run ^ (run >> np.uint64(32))
+
+
+def exact_shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """As ``shingles``, but numbers that are equal, among these texts, only where all words are."""
+    codes, _, bounds = split_words(texts)
+    run = codes.astype(np.int64)
+    for k in range(1, words):
+        if len(run) > 1:
+            # Runs of k words have numbers below len(codes), so these are below the square of a slice's words.
+            run = np.unique(run[:-1] * len(codes) + codes[k : k + len(run) - 1], return_inverse=True)[1]
+    short: dict[tuple, int] = {}
+    out = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo >= words:
+            out.append(np.unique(run[lo : hi - words + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(codes[lo:hi].tolist()), len(short))] if hi > lo else [], np.int64))
     return out
 
 
@@ -100,6 +131,15 @@ def _runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         yield part, shingles([b or b"" for b in part.column(column).cast(pa.large_binary()).to_pylist()])
 
 
+def _text_pairs(batches: Iterable[pa.RecordBatch], cut) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Slices of rows ``a, b, text_a, text_b`` with the shingles of both texts."""
+    for batch in batches:
+        for part in sliced(batch, 2, SLICE_BYTES):
+            texts = [b or b"" for column in (2, 3) for b in part.column(column).cast(pa.large_binary()).to_pylist()]
+            sets = cut(texts)
+            yield part, sets[: part.num_rows], sets[part.num_rows :]
+
+
 def _set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -184,17 +224,18 @@ def _pairs(a, b):
     return F.when(first, F.col(f"{a}key")).otherwise(F.col(f"{b}key")).alias("a"), F.when(first, F.col(f"{b}key")).otherwise(F.col(f"{a}key")).alias("b")
 
 
-def _may_link(a: str, b: str, similarity):
+def _may_link(a: str, b: str, similarity, size: str = "n") -> Column:
     """Length and positional filter on two postings of one shingle.
 
     Before places i and j at most ``min(r, s)`` shingles are shared, r and s being how many of those before are shared with
-    any class; after them, at most what the shorter rest has.
+    any class; after them, at most what the shorter rest has. ``size`` is that of the lists that places count in: of the sets
+    themselves, or of their differences from one hub, whose overlap a link bounds in the same way.
     """
     p, q = similarity
-    n, m, i, j, r, s = (F.col(x + c) for c in ("n", "place", "shared") for x in (a, b))
+    n, m, d, e, i, j, r, s = (F.col(x + c) for c in ("n", size, "place", "shared") for x in (a, b))
     length = (F.lit(p) * F.greatest(n, m)) <= (F.lit(q) * F.least(n, m))
-    overlap = F.least(r, s) + 1 + F.least(n - i, m - j) - 1
-    return length & (F.lit(p + q) * overlap >= F.lit(p) * (n + m))
+    overlap = F.least(r, s) + F.least(d - i, e - j)
+    return length & (F.lit(2 * (p + q)) * overlap >= F.lit(p + q) * (d + e) - F.lit(q - p) * (n + m))
 
 
 class JaccardJoin:
@@ -215,50 +256,113 @@ class JaccardJoin:
         first = checkpointed(self._near_pairs())
         links = self._verified(first)
         release(docs.sparkSession)
-        lists = written(self._lists(connected_components(links)))
-        more = checkpointed(self._pairs_across(lists.table).join(first, ["a", "b"], "left_anti"))
-        lists.drop()
+        more = checkpointed(self._more_pairs(connected_components(links)).join(first, ["a", "b"], "left_anti"))
         postings.drop()
+        release(docs.sparkSession)
         self.links = checkpointed(links.unionByName(self._verified(more)))
         release(docs.sparkSession)
         self.components = connected_components(self.links)
 
     def _postings(self, classes: DataFrame) -> DataFrame:
-        """``token, key, n, place, shared``: prefix shingles that two classes have at least."""
+        """``token, key, n, place, shared, own``: prefix shingles that two classes have at least; ``own`` is how many of the class's no other has, in a thousand."""
+        p, q = self.similarity
         each = classes.select("key", "n", F.posexplode("prefix").alias("place", "token"))
         by_token = Window.partitionBy("token").orderBy("n", "key")
         several = each.withColumn("other", F.coalesce(F.lag("key").over(by_token), F.lead("key").over(by_token))).where("other is not null").drop("other")
         in_class = Window.partitionBy("key").orderBy("place")
-        return several.withColumn("shared", F.row_number().over(in_class) - 1)
+        held = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        prefix = F.expr(f"n - ({p} * n + {q - 1}) div {q} + 1")
+        return several.withColumn("shared", F.row_number().over(in_class) - 1).withColumn("own", (F.lit(1000) * (prefix - held) / prefix).cast("int"))
 
     def _near_pairs(self) -> DataFrame:
-        """Of each posting list a star around its most central member and a chain by size, where the filters pass."""
-        own = (F.col("place") - F.col("shared")) / F.col("n")
+        """Of each posting list a star around its hub and a chain by size, where the filters pass."""
         by_size = Window.partitionBy("token").orderBy("n", "key")
         whole_list = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         names = ("key", "n", "place", "shared")
         me = F.struct(*names)
-        hub = F.min_by(me, F.struct(own.alias("own"), F.col("key"))).over(whole_list)
+        hub = F.min_by(me, F.struct("own", "key")).over(whole_list)
         met = self.postings.select(*names, F.array(hub, F.lag(me).over(by_size)).alias("others"))
         met = met.select(*[F.col(c).alias(f"x_{c}") for c in names], F.explode("others").alias("y")).where("y.key != x_key")
         met = met.select("*", *[F.col(f"y.{c}").alias(f"y_{c}") for c in names])
         return self._suffix_filtered(met.where(_may_link("x_", "y_", self.similarity)).select(*_pairs("x_", "y_")).distinct())
 
-    def _lists(self, components: DataFrame) -> DataFrame:
-        """The postings with the component of their class."""
-        lists = self.postings.join(components, self.postings["key"] == components["node"], "left").drop("node")
-        return lists.withColumn("component", F.coalesce("component", "key"))
+    def _more_pairs(self, components: DataFrame) -> DataFrame:
+        """Pairs of different components: on short lists, with the hubs of long ones, and on lists of differences from these."""
+        lists = self.postings.withColumns({"d": F.col("n"), "linked": F.lit(False)})
+        mixed = written(self._mixed_lists(lists, components))
+        long = F.col("members") > LIST_PAIRS
+        pairs, kept = self._pairs_across(mixed.table.where(~long)), [mixed]
+        if not mixed.table.where(long).isEmpty():
+            sets = written(self._differences(mixed.table.where(long)))
+            around = written(self._mixed_lists(self._difference_lists(sets.table), components))
+            kept += [sets, around]
+            pairs = pairs.unionByName(sets.table.where("linked").select(*_pairs("hub_", ""))).unionByName(self._pairs_across(around.table)).distinct()
+        pairs = checkpointed(self._suffix_filtered(pairs))
+        for w in kept:
+            w.drop()
+        return pairs
+
+    def _mixed_lists(self, lists: DataFrame, components: DataFrame) -> DataFrame:
+        """The lists of several components, with each class's ``component``, the list's largest, ``main``, and the number of ``members``."""
+        lists = lists.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+        mixed = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("components")).where("components > 1").drop("components")
+        return lists.join(mixed, "token")
 
     def _pairs_across(self, lists: DataFrame) -> DataFrame:
-        """Pairs of different components on one posting list, each with a member outside the list's largest component."""
-        sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").drop("components")
-        names = ("token", "key", "n", "place", "shared", "component")
-        left = lists.join(main, "token").where("component != main").select("main", *[F.col(c).alias(f"x_{c}") for c in names])
+        """Pairs of different components on one list, each with a member outside the list's largest component."""
+        names = ("token", "key", "n", "d", "place", "shared", "linked", "component")
+        left = lists.where("component != main").select("main", *[F.col(c).alias(f"x_{c}") for c in names])
         right = lists.select(*[F.col(c).alias(f"y_{c}") for c in names])
         once = (F.col("y_component") == F.col("main")) | (F.col("x_key") < F.col("y_key"))
-        met = left.join(right, (F.col("x_token") == F.col("y_token")) & (F.col("x_component") != F.col("y_component")) & once & _may_link("x_", "y_", self.similarity))
-        return self._suffix_filtered(met.select(*_pairs("x_", "y_")).distinct())
+        apart = (F.col("x_component") != F.col("y_component")) & ~(F.col("x_linked") & F.col("y_linked"))
+        met = left.join(right, (F.col("x_token") == F.col("y_token")) & apart & once & _may_link("x_", "y_", self.similarity, "d"))
+        return met.select(*_pairs("x_", "y_")).distinct()
+
+    def _differences(self, lists: DataFrame) -> DataFrame:
+        """``hub_key, key, n, hub_n, d, linked, extra, missing``: what the members of each list have beyond its hub, and what they lack of it."""
+        hubs = lists.groupBy("token").agg(F.min(F.struct("own", "key"))["key"].alias("hub_key"))
+        pairs = checkpointed(lists.join(hubs, "token").where("key != hub_key").select(F.col("hub_key").alias("a"), F.col("key").alias("b")).distinct())
+        p, q = self.similarity
+
+        def differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, x, y in _text_pairs(batches, shingles):
+                extra = [np.setdiff1d(t, s, assume_unique=True) for s, t in zip(x, y)]
+                missing = [np.setdiff1d(s, t, assume_unique=True) for s, t in zip(x, y)]
+                hub_n, n, more, less = (np.array([len(s) for s in sets], np.int64) for sets in (x, y, extra, missing))
+                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *k]), pa.int32()), pa.array(np.concatenate(e).view(np.int64) if e else [], pa.int64())) for e, k in ((extra, more), (missing, less))]
+                yield pa.RecordBatch.from_pydict(
+                    {"hub_key": part.column(0), "key": part.column(1), "n": pa.array(n, pa.int32()), "hub_n": pa.array(hub_n, pa.int32()), "d": pa.array(more + less, pa.int32()),
+                     "linked": pa.array((p + q) * (more + less) <= (q - p) * (n + hub_n)), "extra": arrays[0], "missing": arrays[1]}
+                )
+
+        return self._with_texts(pairs).mapInArrow(differ, "hub_key long, key long, n int, hub_n int, d int, linked boolean, extra array<long>, missing array<long>")
+
+    def _difference_lists(self, sets: DataFrame) -> DataFrame:
+        """Lists as of ``_postings``, of the rarest elements of each difference, by their exact counts around the hub.
+
+        Of two members that a link joins one at least is not linked to the hub, or the hub connects them already. So the
+        differences x and y of a link share ``(|x| + |y| - c (n + m)) / 2`` elements at least, c being the share of both
+        sizes by which linked sets may differ. ``|y| >= 1`` and ``m <= hub_n + |y|`` bound that from below where x is not
+        linked to the hub, ``|x| > c (n + hub_n)`` where y is: one at least in both cases. Before that, members go of whose
+        sets too much is held by no other member at all: these link with none, like most that only share a passage.
+        """
+        p, q = self.similarity
+        flagged = lambda c, new: F.transform(c, lambda x: F.struct(x.alias("element"), F.lit(new).alias("new")))
+        each = sets.select("hub_key", "key", F.explode(F.concat(flagged("extra", True), flagged("missing", False))).alias("e")).select("hub_key", "key", "e.element", "e.new")
+        counts = each.groupBy("hub_key", "element").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+        shared = each.join(counts, ["hub_key", "element"]).groupBy("hub_key", "key").agg(F.sort_array(F.collect_list(F.struct("count", "element"))).alias("shared_ones"), F.count_if("new").alias("shared_new"))
+        unlinked = f"{p + q} * d - {q - p} * (n + hub_n) + {2 * p}"
+        linked = f"{p + q} * d + {q - p} * (hub_n - n) + 1"
+        least = F.expr(f"greatest(1, cast(ceil((CASE WHEN linked THEN {linked} ELSE {unlinked} END) / {2 * (p + q)}) AS int))")
+        own = F.col("d") - F.size("shared_ones")
+        held = F.col("n") - F.size("extra") + F.col("shared_new")
+        rows = sets.join(shared, ["hub_key", "key"]).where(F.lit(q) * held >= F.lit(p) * F.col("n")).select(
+            "hub_key", "key", "n", "d", "linked", own.alias("before"),
+            F.slice("shared_ones", F.lit(1), F.greatest(F.lit(0), F.col("d") - least + 1 - own)).alias("prefix"),
+        )
+        lists = rows.select("hub_key", "key", "n", "d", "linked", "before", F.posexplode("prefix").alias("shared", "one"))
+        return lists.select(F.xxhash64("hub_key", "one.element").alias("token"), "key", "n", "d", (F.col("before") + F.col("shared")).alias("place"), "shared", "linked")
 
     def _all_pairs(self, postings: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
         """Every pair on every posting list where the filters pass. Lists are cut into blocks, and each two blocks meet in a key of their own."""
@@ -306,31 +410,32 @@ class JaccardJoin:
         same = (F.col("rep_text") == F.col("text_key")) & F.col("rep_id").eqNullSafe(F.col("doc_id"))
         return rows.join(wanted, same).select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
 
+    def _with_texts(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, text_a, text_b``. A text of many pairs goes to as many tasks as ``SALTS`` says at most."""
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
+        texts = self._texts(pairs)
+        one = lambda c: texts.join(salted.select(F.col(c).alias("key"), "salt").distinct(), "key").select(F.col("key").alias(c), "salt", F.col("text").alias(f"text_{c}"))
+        return salted.join(one("a"), ["a", "salt"]).join(one("b"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the exact size of intersection and union of both whole texts' shingles."""
         p, q = self.similarity
 
         def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in sliced(batch, 2, SLICE_BYTES):
-                    x = shingles([b or b"" for b in part.column(2).cast(pa.large_binary()).to_pylist()])
-                    y = shingles([b or b"" for b in part.column(3).cast(pa.large_binary()).to_pylist()])
-                    good = []
-                    for i, (s, t) in enumerate(zip(x, y)):
-                        shared = len(np.intersect1d(s, t, assume_unique=True))
-                        if q * shared >= p * (len(s) + len(t) - shared):
-                            good.append(i)
-                    yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
+            for part, x, y in _text_pairs(batches, exact_shingles):
+                good = []
+                for i, (s, t) in enumerate(zip(x, y)):
+                    shared = len(np.intersect1d(s, t, assume_unique=True))
+                    if q * shared >= p * (len(s) + len(t) - shared):
+                        good.append(i)
+                yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-        texts = self._texts(pairs)
-        one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        both = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        return checkpointed(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
+        return checkpointed(self._with_texts(pairs).mapInArrow(verify, "a long, b long"))
 
     def keep_one(self) -> DataFrame:
         """The rows of ``docs`` less all but one of each component: the smallest id, null last, then a hash of the text.
 
-        Rows without words stay. Rows that repeat both id and text are the same document and stay or go together.
+        Rows without words stay, null and empty texts among them, and an empty table stays empty. Rows that repeat both id and text are the same document and stay or go together.
         """
         in_class = self.classes.join(self.components, self.classes["key"] == self.components["node"], "left")
         rank = F.struct(F.col("least_id").isNull().alias("last"), F.coalesce("least_id", F.lit(0)).alias("id"), F.col("least_text").alias("text"))
