@@ -9,27 +9,27 @@ from tilespark.llm.util import documents, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a known language go."""
+    """Texts without a known language go: null, empty and letterless ones, and those that no learned language fits."""
     return langid.keep_known(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays; null counts as empty, null ids rank lowest."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at Jaccard 0.8 or more, the smallest doc_id stays."""
+    """Of documents that five-word shingles link at Jaccard 0.8 or more, the smallest doc_id stays, null last; wordless texts stay."""
     return ngram_jaccard.JaccardJoin(docs).keep_one()
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The blocks that the mix takes: whole copies of documents, and the words of drawn blocks."""
+    """The blocks that the mix takes: whole copies of documents, and the words of drawn blocks. Texts without words go; a null source is one of its own."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens. No documents give no pieces."""
     return packing.pack_documents(docs)
 
 
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again. Any stage may leave an empty table."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir)).table
