@@ -119,3 +119,10 @@ def test_columns(spark):
     more = spark.createDataFrame([(1, None), (2, bytearray(b"junk"))], "doc_id long, media binary")
     assert [(r.doc_id, r.width, r.media_bytes) for r in jpeg.media_features(more).orderBy("doc_id").collect()] == [(1, None, None), (2, None, 4)]
     assert jpeg.media_features(jpeg.encode_texts(docs.where("false"))).collect() == []
+
+
+def test_clashing_columns_give_way(spark):
+    media = jpeg.encode_texts(spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string"))
+    plain = sorted(map(str, jpeg.media_features(media).collect()))
+    clash = media.selectExpr("doc_id", "n_bytes", "media", "'x' AS width", "1 AS media_bytes")
+    assert sorted(map(str, jpeg.media_features(clash).collect())) == plain

@@ -81,3 +81,22 @@ def test_pieces_cover_each_document_once(spark, parts):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_cut_pieces_have_their_own_ids(spark):
+    rows = [(1, "word and other words, " * 500), (2, "short"), (3, None), (4, "number 12 " * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    whole = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for d, t in rows}
+    at = dict.fromkeys(whole, 0)
+    for r in sorted(packing.pack_documents(docs, window=64).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids = whole[r.doc_id][r.start : r.start + r.length]
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(whole[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+        at[r.doc_id] += r.length
+    assert at == {d: len(ids) for d, ids in whole.items()}
+
+
+def test_another_kind_of_tokenizer_is_refused():
+    with pytest.raises((ValueError, IndexError)):
+        packing.WordTokens(packing.tokenizer_path("byte_bpe_50k.json"))

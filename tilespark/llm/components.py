@@ -13,7 +13,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round a node hands its smallest neighbour to its larger neighbours (large star), then to its smaller ones and
     itself (small star), which halves paths at least. Rounds end when all links are of stars: each node has one smaller
-    neighbour, and that has none.
+    neighbour, and that has none. Links of a node with itself and repeated ones add nothing; no links give no rows.
     """
     edges = checkpointed(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:

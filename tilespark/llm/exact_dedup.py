@@ -56,7 +56,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops; columns and their order stay.
 
-    Rows are matched by id and digest. Where a row repeats (same id, same text), one of the repeats stays.
+    Rows are matched by id and digest. Where a row repeats (same id, same text), one of the repeats stays. Null and empty texts
+    are equal, so one row of them all stays; null ids rank lowest; an empty table stays empty.
     """
     digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     groups = exact_groups(docs, id_col, text_col, support)

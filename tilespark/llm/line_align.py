@@ -172,7 +172,8 @@ def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``key, doc_id, n_lines, removed``: per document the places, from 0, of the lines that go.
 
     Lines are equal when they are after trimming spaces; blank ones match nothing. Documents are ordered by id, null last,
-    then by a hash of id and text. Rows that repeat both id and text are one document. Null texts have one blank line.
+    then by a hash of id and text. Rows that repeat both id and text are one document. Null texts have one blank line. An empty
+    table gives an empty result; other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.transform(_lines(F.col("text")), lambda x: F.trim(x))
@@ -231,7 +232,8 @@ def document_key(id_col: str, text_col: str) -> Column:
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines; other columns and rows stay, and a text without such lines is untouched.
 
-    ``n_chars``, if it is a column, follows the text. A text whose lines all go is empty.
+    ``n_chars``, if it is a column, follows the text. A text whose lines all go is empty; null texts and an empty table stay as
+    they are. Columns named ``__own``, ``__key``, ``__removed`` or ``__text`` are the function's own and must not be in ``docs``.
     """
     found = find_repeated_lines(docs, id_col, text_col, least_words).where("size(removed) > 0")
     found = found.select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))

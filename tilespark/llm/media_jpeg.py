@@ -369,13 +369,14 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     """``media`` with ``width, height, thumbnail_hash`` and what the file holds, read back from the stored bytes.
 
     ``payload_bytes, payload_sha256, tail_crc32`` are of the payload if the file has one (``encode_payloads``), else null.
-    Null and unreadable media, and other than baseline JPEG with one scan, give nulls. Columns must not clash with these.
+    Null and unreadable media, and other than baseline JPEG with one scan, give nulls. Input columns of these names give way to them; repeated rows stay, and
+    an empty table gives an empty result.
     """
-    names = [c for c in media.columns]
     more = "width long, height long, thumbnail_hash string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != media_col) + ", " + more
-    keep = [c for c in names if c != media_col]
-    integers = [f.name for f in media.schema if f.dataType.simpleString() in ("bigint", "int")]
+    made = [c.split()[0] for c in more.split(", ")]
+    keep = [c for c in media.columns if c != media_col and c not in made]
+    schema = ", ".join([*[f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep], more])
+    integers = [c for c in keep if media.schema[c].dataType.simpleString() in ("bigint", "int")]
 
     def of(file: bytes | None, got) -> tuple:
         if file is None:
@@ -396,7 +397,7 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
             for lo, hi in _runs(max(1, len(x or b"")) for x in files):
                 run = files[lo:hi]
                 found = decode([x or b"" for x in run])
-                cells = pd.DataFrame([of(x, g) for x, g in zip(run, found)], columns=[c.split()[0] for c in more.split(", ")])
+                cells = pd.DataFrame([of(x, g) for x, g in zip(run, found)], columns=made)
                 part = frame[keep].iloc[lo:hi].reset_index(drop=True).astype({c: "Int64" for c in integers})
                 whole = pd.concat([part, cells], axis=1)
                 yield whole.astype({c: "Int64" for c in ("width", "height", "payload_bytes", "tail_crc32", "media_bytes")})

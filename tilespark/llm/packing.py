@@ -28,6 +28,8 @@ MERGE_PARTITIONS = 16
 END_ID = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHED_WORDS = 1 << 19
+#: What a tokenizer must cut as ``WordTokens`` does.
+PROBES = ["Plain Words it's 12-3, x_y (a.b)!", "ünï 日本語 İx \u00a0 <b>&amp;", "  ", "a\tb\nC\x0bd", "\u200bzero e\u0301 ½²"]
 SLICE_BYTES = 1 << 20
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -62,6 +64,9 @@ class WordTokens:
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[k for name, k in names.items() if name.endswith("</w>")]] = True
         self.forget()
+        for text, ids in zip(PROBES, self.encode(pa.array(PROBES), END_ID)):
+            if ids[:-1].tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"{path} does not lower-case and cut texts as this operator does")
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
@@ -253,7 +258,8 @@ def pack_documents(
 
     A document is the ids of its whole text and ``end_id``; null counts as empty, so it is ``end_id`` alone. Each id is in
     one piece; pieces lie in their sequence without gaps from offset 0. Repeated rows and null ids are packed like others.
-    An empty table gives an empty result; other columns are not looked at.
+    An empty table gives an empty result; other columns are not looked at. ``path`` is a tokenizer file that lower-cases and
+    cuts at white space and punctuation as the default one does; another kind is refused.
     """
     path = path or tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))

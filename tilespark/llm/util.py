@@ -23,10 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only where it is unset, a folder of this machine (tests, local mode)."""
+    """Use the folder of ``spark.checkpoint.dir``; where it is unset, a folder of this machine in local mode, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilespark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not f"{context.master}[".startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tilespark-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
