@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tilespark.llm import langid
@@ -23,6 +24,34 @@ def test_presence_is_of_each_text_alone():
     assert not alone[0].any()
 
 
+def test_kernel_and_ridge_equal_their_definition():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcde " if k % 2 else "defgh ", k=rng.randrange(5, 60))).encode() for k in range(40)]
+    grams = [{(n, (t + bytes(4))[i : i + n]) for n in langid.GRAMS for i in range(len(t))} for t in texts]  # one starts at every byte
+    seen = langid.presence(texts, bits=20)  # of so many buckets that grams hardly meet
+    x = langid.normalised(seen)
+    for i in range(40):
+        for j in range(40):
+            want = len(grams[i] & grams[j]) / (len(grams[i]) * len(grams[j])) ** 0.5
+            assert abs(float(x[i] @ x[j]) - want) < 0.02
+    languages = ["odd" if k % 2 else "even" for k in range(40)]
+    small = langid.presence(texts)
+    model = langid.KernelRidge(small, languages, landmarks=40, ridge=1e-2)
+    z = langid.normalised(small).astype(float)
+    kernel = z @ z.T  # with every text a landmark, Nyström is plain kernel ridge regression
+    y = np.array([[1.0 if a == b else -1.0 for b in model.languages] for a in languages])
+    plain = kernel @ np.linalg.solve(kernel + 1e-2 * 40 * np.eye(40), y)
+    assert np.abs(model.scores(texts) - plain).max() < 0.02
+
+
+def test_signs_are_no_letters(spark):
+    texts = ["½ ② Ⅷ ²", "٣٤ _ __", "a", "ª", "日"]
+    rows = [(i, "plain words of a language", "en") for i in range(40)] + [(100 + k, t, None) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert [found[100 + k] != "und" for k in range(len(texts))] == [any(c.isalpha() for c in t) for t in texts]
+
+
 def test_only_text_decides(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["der", "und", "ist", "nicht"] if i % 2 else ["the", "and", "is", "not"], k=20)), "de" if i % 2 else "en", "s") for i in range(60)]

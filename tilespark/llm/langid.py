@@ -26,10 +26,15 @@ LANDMARKS = 256
 RIDGE = 1e-3
 SHARPNESS = 8.0
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
 SLICE_BYTES = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """A letter is of a Unicode letter category; signs such as ½, ² or Ⅷ are none."""
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def presence(texts: list[bytes], bits: int = BITS) -> np.ndarray:
     """A row per text of which hashed n-grams it holds. Zero bytes part the texts; n-grams start inside a text."""
     pad = max(GRAMS)
@@ -115,6 +120,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 part = frame.iloc[lo : lo + len(run)]
                 yield pd.DataFrame({"lang": part["lang"].values, "draw": part["draw"].values, "seen": [r.tobytes() for r in seen]})
 
+    # Rows that repeat id, text and language are one, so that a group holds no more than was drawn.
+    drawn = drawn.groupBy("lang", "draw").agg(F.first("text").alias("text"))
     vectors = drawn.mapInPandas(packed, "lang string, draw long, seen binary")
     found = vectors.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "seen"))), 1, per_language).alias("rows")).collect()
     languages = [r["lang"] for r in sorted(found, key=lambda r: r["lang"]) for _ in r["rows"]]
@@ -128,7 +135,7 @@ def predicted(texts: list[str | None], model: KernelRidge | None) -> tuple[list[
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return names, scores
-    known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
     for lo, run in _slices([texts[i] for i in known]):
         f = SHARPNESS * model.scores(run).astype(float)
         p = np.exp(f - f.max(1, keepdims=True))
@@ -158,7 +165,7 @@ def identify(docs: DataFrame, model: KernelRidge | None, id_col: str = "doc_id",
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.3) -> DataFrame:
     """``docs`` without texts of no known language: those without letters and those whose best score is under ``least_score``.
 
-    Other columns are not looked at and stay. Without labelled texts nothing can be rejected but letterless ones.
+    Null and empty texts have no letters and go; an empty table stays empty; repeated rows stay or go alike. Other columns are not looked at and stay. Without labelled texts nothing can be rejected but letterless ones.
     """
     model = train(docs, id_col, text_col, lang_col)
 
@@ -166,7 +173,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def known(column: pd.Series) -> pd.Series:
         texts = [t if isinstance(t, str) else None for t in column.tolist()]
         if model is None:
-            return pd.Series([t is not None and bool(LETTER.search(t)) for t in texts], dtype=bool)
+            return pd.Series([t is not None and has_letter(t) for t in texts], dtype=bool)
         names, scores = predicted(texts, model)
         return pd.Series([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], dtype=bool)
 
