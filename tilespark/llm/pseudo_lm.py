@@ -85,51 +85,74 @@ class Network:
         """``hidden`` at every place of ``wide`` but the first and last ``SIDE``: one look-up a word, then shifted sums."""
         embedded, n = self.p["embed"][wide], len(wide) - 2 * SIDE
         total = np.repeat(self.p["bias"][None], n, 0)
+        part = np.empty_like(total)
         for k, shift in enumerate(SHIFTS):
-            total += embedded[SIDE + shift : SIDE + shift + n] * self.p["scale"][k]
+            total += np.multiply(embedded[SIDE + shift : SIDE + shift + n], self.p["scale"][k], out=part)
         return np.tanh(total, out=total)
 
+    def scorer(self) -> _Scorer:
+        return _Scorer(self)
+
     def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Of each word, from the hidden values at its place."""
-        kind, inner = np.divmod(words - 1, self.side)
-        score = _log_softmax(h @ self.p["class_w"].T + self.p["class_b"], kind)
-        for c, rows in _by_class(kind, self.side):
-            score[rows] += _log_softmax(h[rows] @ self.p["word_w"][c].T + self.p["word_b"][c], inner[rows])
-        return score
+        return self.scorer()(h, words)
 
     def gradients(self, context: np.ndarray, words: np.ndarray) -> dict:
         """Of the mean log-probability's negative. Those of ``embed`` are (ids, rows)."""
         p, n = self.p, len(words)
-        h = self.hidden(context)
         kind, inner = np.divmod(words - 1, self.side)
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        context, kind, inner = context[order], kind[order], inner[order]
+        bounds = np.searchsorted(kind, np.arange(self.side + 1)).tolist()
+        h = self.hidden(context)
         soft = _softmax(h @ p["class_w"].T + p["class_b"])
         soft[np.arange(n), kind] -= 1
         g = {"class_w": soft.T @ h / n, "class_b": soft.mean(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
         back = soft @ p["class_w"]
-        for c, rows in _by_class(kind, self.side):
-            own = h[rows]
-            part = _softmax(own @ p["word_w"][c].T + p["word_b"][c])
-            part[np.arange(len(rows)), inner[rows]] -= 1
-            g["word_w"][c], g["word_b"][c] = part.T @ own / n, part.sum(0) / n
-            back[rows] += part @ p["word_w"][c]
+        for c, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if lo == hi:
+                continue
+            part = _softmax(h[lo:hi] @ p["word_w"][c].T + p["word_b"][c])
+            part[np.arange(hi - lo), inner[lo:hi]] -= 1
+            g["word_w"][c], g["word_b"][c] = part.T @ h[lo:hi] / n, part.sum(0) / n
+            back[lo:hi] += part @ p["word_w"][c]
         back *= (1 - h * h) / n
         g["bias"] = back.sum(0)
         g["scale"] = np.stack([(back * p["embed"][context[:, k]]).sum(0) for k in range(2 * SIDE)])
-        flat = context.reshape(-1)
-        each = (back[:, None, :] * p["scale"][None]).reshape(-1, WIDTH)
-        by = np.argsort(flat, kind="stable")
+        flat = context.T.reshape(-1)
+        each = (back[None] * p["scale"][:, None]).reshape(-1, WIDTH)
+        by = np.argsort(flat.astype(np.int32), kind="stable")
         ids, first = np.unique(flat[by], return_index=True)
         g["embed"] = (ids, np.add.reduceat(each[by], first, axis=0))
         return g
 
 
-def _by_class(kind: np.ndarray, classes: int):
-    """Each class that occurs, with its rows."""
-    order = np.argsort(kind.astype(np.int16), kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(classes + 1))
-    for c in range(classes):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+class _Scorer:
+    """Log-probabilities by a fixed network. Biases are a further column of the weights, against a constant hidden value of 1."""
+
+    def __init__(self, network: Network):
+        p, side = network.p, network.side
+        self.side = side
+        self.class_w = np.ascontiguousarray(np.concatenate([p["class_w"], p["class_b"][:, None]], 1).T)
+        self.word_w = np.ascontiguousarray(np.concatenate([p["word_w"], p["word_b"][:, :, None]], 2).transpose(0, 2, 1))
+        # Hidden values are between -1 and 1, so logits are within these sums; where they are small, exponents can't overflow.
+        self.class_safe = np.abs(self.class_w).sum(0).max() < 80
+        self.word_safe = np.abs(self.word_w).sum(1).max(1) < 80
+
+    def __call__(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        kind, inner = np.divmod(words - 1, self.side)
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        bounds = np.searchsorted(kind[order], np.arange(self.side + 1)).tolist()
+        wide = np.empty((len(h), h.shape[1] + 1), np.float32)
+        np.take(h, order, 0, out=wide[:, :-1])
+        wide[:, -1] = 1
+        found, inner = _log_softmax(wide @ self.class_w, kind[order], self.class_safe), inner[order]
+        for c, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if lo < hi:
+                found[lo:hi] += _log_softmax(wide[lo:hi] @ self.word_w[c], inner[lo:hi], self.word_safe[c])
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -139,10 +162,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+def _log_softmax(logits: np.ndarray, at: np.ndarray, safe: bool = False) -> np.ndarray:
+    if not safe:
+        logits -= logits.max(1, keepdims=True)
     own = logits[np.arange(len(at)), at]
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 class Trainer:
@@ -170,16 +195,15 @@ def spread(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words between ASCII white space, which of them each word is, and where each text's begin.
+    """The distinct words between ASCII white space, ASCII letters lower-cased, which of them each word is, and where each text's begin.
 
-    ASCII letters are lower-cased, which may make distinct words equal. Texts with white space at an end have empty words.
-    Arrow's string functions misread slices of large arrays, so the texts are copied out first.
+    Texts with white space at an end have empty words. Arrow's string functions misread slices of large arrays, so the texts
+    are copied out first.
     """
-    split = pc.ascii_split_whitespace(texts.take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string()))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string())))
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    lower = [w.lower() for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]  # of bytes, so ASCII letters only
-    return lower, coded.indices.to_numpy(), bounds - bounds[0]
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), bounds - bounds[0]
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -235,15 +259,13 @@ class Words:
 
 def rare_words(ids: np.ndarray, bounds: np.ndarray, lower: list[bytes], codes: np.ndarray) -> tuple[list[bytes], pa.Array, pa.Array]:
     """The distinct words beyond the vocabulary, and of each the texts that hold it and how often."""
-    number: dict[bytes, int] = {}
-    same = np.array([number.setdefault(w, len(number)) for w in lower], np.int64)
     rare, texts = ids <= RARE, max(1, len(bounds) - 1)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[rare]
-    each, times = np.unique((same[codes[rare]] if len(same) else np.empty(0, np.int64)) * texts + row, return_counts=True)
+    each, times = np.unique(codes[rare].astype(np.int64) * texts + row, return_counts=True)
     word, row = np.divmod(each, texts)
     held, first = np.unique(word, return_index=True)
-    names, ends = list(number), pa.array([*first, len(each)], pa.int32())
-    return [names[k] for k in held], pa.ListArray.from_arrays(ends, pa.array(row, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+    ends = pa.array([*first, len(each)], pa.int32())
+    return [lower[k] for k in held.tolist()], pa.ListArray.from_arrays(ends, pa.array(row, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
 
 
 def log_shares(counts: DataFrame, words: list[str]) -> DataFrame:
@@ -309,6 +331,7 @@ def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "do
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, net, slices = Words(words), Network.of(flat, side), 0
+        scorer = net.scorer()
         for whole in batches:
             for batch in sliced(whole, 1, SLICE_BYTES):
                 ids, bounds, lower, codes = encoder.coded(batch.column(1))
@@ -316,7 +339,7 @@ def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "do
                 each = np.zeros(len(wide))
                 for lo in range(SIDE, len(wide) - SIDE, PLACES):
                     part = wide[lo - SIDE : lo + PLACES + SIDE]
-                    each[lo : lo + PLACES][: len(part) - 2 * SIDE] = net.log_probabilities(net.running(part), np.maximum(part[SIDE : len(part) - SIDE], 1))
+                    each[lo : lo + PLACES][: len(part) - 2 * SIDE] = scorer(net.running(part), np.maximum(part[SIDE : len(part) - SIDE], 1))
                 each = each[place]
                 n = np.diff(bounds)
                 total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
