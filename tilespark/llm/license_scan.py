@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index, on DataFrame functions only.
 
 The index holds, for each word of the licence templates below, its postings (template, position). Inverse document
-frequencies of these words are counted over all documents. In each document the licence words of highest IDF are looked up;
-a posting at template position ``p`` and a document word at ``i`` agree on the relative position ``i - p``, and a template is
-a candidate where enough of its rare words agree on one. A candidate becomes a label when its mandatory key phrases stand in
-the document. The templates, hence the index and every literal made of it, are fixed and small.
+frequencies of these words are counted over all documents. Each document looks up those licence words of its own that have
+the highest IDF, ``FILE_WORDS`` of them; a posting at template position ``p`` and a document word at ``i`` agree on the
+relative position ``i - p``, and a template is a candidate where enough of its words' IDF agrees on one. A candidate becomes a
+label when its mandatory key phrases stand in the document. The templates, hence the index and every literal made of it, are
+fixed and small.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ TEMPLATES = (
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE_WORDS = 8
+FILE_WORDS = 32
 LEAST_SHARE = 0.6
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -68,22 +69,19 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
 
 def word_idf(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, float]:
     """IDF of each template word over all of ``docs``. As many entries as the templates have words, so a bounded collect."""
-    spark = docs.sparkSession
-    words = spark.createDataFrame([(w,) for w in vocabulary(templates)], "word string")
-    each = docs.select(F.explode(F.array_distinct(words_of(lowered(F.col(text_col))))).alias("word"))
-    # The row of the empty word counts the documents.
-    counts = each.join(F.broadcast(words), "word").groupBy("word").count().collect()
+    each = docs.select(F.explode(F.array_intersect(words_of(lowered(F.col(text_col))), _strings(vocabulary(templates)))).alias("word"))
+    counts = each.groupBy("word").count().collect()
     found = {r["word"]: r["count"] for r in counts}
     n = docs.count()
     return {w: math.log((n + 1) / (found.get(w, 0) + 1)) + 1e-6 for w in vocabulary(templates)}
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: dict[str, float] | None = None, templates=TEMPLATES, rare_words: int = RARE_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: dict[str, float] | None = None, templates=TEMPLATES, file_words: int = FILE_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Per input row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches``.
 
     ``matches`` are the verified templates as (label, start word, score). Null texts count as empty: no words, no labels,
     score 0, and null first and last word. Rows are decided each for itself, so ties and repeated rows change nothing, and
-    columns other than id and text are not looked at. ``score`` is the share of a template's rare-word IDF that agrees at
+    columns other than id and text are not looked at. ``score`` is the share of a template's IDF that agrees at
     its best place, the largest of the verified templates, and at least 0.5 where a phrase of ``PHRASES`` stands.
     """
     idf = idf if idf is not None else word_idf(docs, text_col, templates)
@@ -107,12 +105,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("starts", starts)
     rows = rows.withColumn("base", F.array_sort(F.array_distinct(F.transform("starts", lambda i: F.element_at(named, F.get(F.col("w"), i))))))
 
-    rows = rows.withColumn("best", _best_places(idf, templates, rare_words))
+    rows = rows.withColumn("best", _best_places(idf, templates, file_words))
     text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
     rows = rows.withColumn("joined", F.when(F.size("w") > 0, text).otherwise(F.lit("")))
     verified = []
     for t, (label, notice, phrases) in enumerate(templates):
-        weight = sum(idf[w] for w in _rare(notice, idf, rare_words))
+        weight = sum(idf[w] for w in sorted(set(notice.split())))
         place = F.element_at("best", t + 1)
         share = F.least(F.lit(1.0), place["weight"] / F.lit(weight))
         holds = share >= least_share
@@ -139,29 +137,24 @@ def _phrase_at(i: Column) -> Column:
     return at
 
 
-def _rare(notice: str, idf: dict[str, float], rare_words: int) -> list[str]:
-    """The notice's distinct words of highest IDF: those that the index posts."""
-    return sorted(set(notice.split()), key=lambda w: (-idf[w], w))[:rare_words]
-
-
-def _best_places(idf: dict[str, float], templates, rare_words: int) -> Column:
-    """Per template the relative position on which the most IDF of its rare words agrees: (weight, start).
+def _best_places(idf: dict[str, float], templates, file_words: int) -> Column:
+    """Per template the relative position on which the most IDF of the document's rarest licence words agrees: (weight, start).
 
     Hits are (template, start, template position), sorted; a run of one (template, start) sums the weights of the distinct
     words at it. The state holds one place per template, so a long text with many hits costs a sort and one pass.
     """
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, (_, notice, _) in enumerate(templates):
-        words = notice.split()
-        for word in _rare(notice, idf, rare_words):
-            for p, w in enumerate(words):
-                if w == word:
-                    postings.setdefault(word, []).append((t, p))
+        for p, word in enumerate(notice.split()):
+            postings.setdefault(word, []).append((t, p))
     posting = lambda word, t, p: F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(idf[word] / templates[t][1].split().count(word)).alias("x"))
     index = F.create_map(*[c for word, at in sorted(postings.items()) for c in (F.lit(word), F.array(*[posting(word, t, p) for t, p in at]))])
     none = F.array().cast("array<struct<t:int,p:int,x:double>>")
-    looked_up = F.transform("w", lambda w, i: F.transform(F.coalesce(F.element_at(index, w), none), lambda h: F.struct(h["t"].alias("t"), (i - h["p"]).alias("start"), h["p"].alias("p"), h["x"].alias("x"))))
-    hits = F.array_sort(F.flatten(looked_up))
+    weights = F.create_map(*[c for word in sorted(postings) for c in (F.lit(word), F.lit(idf[word]))])
+    held = F.array_intersect(F.col("w"), _strings(sorted(postings)))
+    rarest = F.slice(F.array_sort(F.transform(held, lambda w: F.struct((-F.element_at(weights, w)).alias("k"), w.alias("w")))), 1, file_words)
+    hit = lambda h, i: F.struct(h["t"].alias("t"), (i - h["p"]).alias("start"), h["p"].alias("p"), h["x"].alias("x"))
+    looked_up = lambda own: F.transform("w", lambda w, i: F.transform(F.coalesce(F.element_at(own, w), none), lambda h: hit(h, i)))
     zero = F.struct(F.lit(0.0).alias("weight"), F.lit(None).cast("int").alias("start"))
     state = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("start"), F.lit(0.0).alias("weight"), F.array(*[zero] * len(templates)).alias("best"))
 
@@ -172,4 +165,11 @@ def _best_places(idf: dict[str, float], templates, rare_words: int) -> Column:
         renewed = F.transform(s["best"], lambda b, i: F.when(i == h["t"], F.struct(weight.alias("weight"), h["start"].alias("start"))).otherwise(b))
         return F.struct(h["t"].alias("t"), h["start"].alias("start"), weight.alias("weight"), F.when(better, renewed).otherwise(s["best"]).alias("best"))
 
-    return F.aggregate(hits, state, step, lambda s: s["best"])
+    places = lambda own: F.aggregate(F.array_sort(F.flatten(looked_up(own))), state, step, lambda s: s["best"])
+    own_index = lambda mine: F.map_filter(index, lambda word, _: F.array_contains(mine, word))
+    return _once(F.transform(rarest, lambda r: r["w"]), lambda mine: _once(own_index(mine), places))
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
