@@ -21,9 +21,17 @@ def test_highest_quotients(spark, seed):
     rng = random.Random(seed)
     votes = [rng.choice([0.0, rng.random() * 10, rng.random() * 1000]) for _ in range(rng.choice([1, 5, 30]))] + [3.0]
     house = rng.choice([0, 7, round(sum(votes))])
-    parties = spark.createDataFrame([(1, k, v, house) for k, v in enumerate(votes)], "g int, k int, votes double, house long")
+    parties = spark.createDataFrame([(1, k, v, house, None) for k, v in enumerate(votes)], "g int, k int, votes double, house long, most_seats long")
     found = {r.k: r.seats for r in mixing.highest_quotients(parties, ["g"], ["k"]).collect()}
     assert [found[k] for k in range(len(votes))] == sainte_lague(votes, house)
+    limits = [max(1, round(v * rng.choice([0.9, 1.0, 1.2]))) for v in votes]
+    house = min(house, sum(limits)) if house else 0
+    limited = spark.createDataFrame([(1, k, v, house, m) for k, (v, m) in enumerate(zip(votes, limits))], "g int, k int, votes double, house long, most_seats long")
+    for seats in (mixing.highest_quotients(limited, ["g"], ["k"]), mixing.quotients_in_groups(limited, ["g"], "k", size=4)):
+        won = {r.k: r.seats for r in seats.collect()}
+        assert all(won[k] <= m for k, m in enumerate(limits))
+        assert sum(won.values()) <= house
+    assert {r.k: r.seats for r in mixing.quotients_in_groups(parties, ["g"], "k").collect()} == found
 
 
 def targets(sizes):
@@ -69,6 +77,21 @@ def test_taken_words_come_near_targets(spark, seed):
     assert sorted(repr((r.doc_id, r.size, r.taken)) for r in again) == sorted(repr((r.doc_id, r.size, r.taken)) for r in found)
 
 
+def test_many_sources_and_a_long_text(spark):
+    rows = [(i, "word " * (1 + i % 9), f"host{i % 3000}") for i in range(6000)] + [(9999, "long " * 300_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_plan(docs).collect()
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    expected, taken = targets(sizes), defaultdict(int)
+    for r in found:
+        assert r.target == pytest.approx(expected[r.source])
+        taken[r.source] += r.taken
+    assert len(found) == len(rows)
+    assert all(abs(taken[s] - t) <= max(2, 0.03 * t) for s, t in expected.items())
+
+
 def test_mixed_texts_have_the_words_taken(spark):
     docs = spark.createDataFrame(rows_of(5), "doc_id long, text string, source string, n_chars int")
     planned = {(r.doc_id, r.source): r.n for r in mixing.mix_plan(docs, shard_rows=100).groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).collect() if r.n}
