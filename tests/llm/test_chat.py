@@ -41,14 +41,36 @@ def test_read_back(spark, window, history, turns):
     for w in windows.collect():
         own = ordered([x for x in rows if x[0] == w.conv_id])
         assert w.formatted.count(chat.START) == w.formatted.count(chat.END) == w.n_turns + w.repeated
-        longest = max(-(-len((t or "").encode()) // 4) + 4 for _, _, _, t in own[w.first_turn : w.first_turn + w.n_turns])
-        first = -(-len((own[0][3] or "").encode()) // 4) + 4 if own[0][2] == "system" else 0
-        assert w.tokens <= max(window, longest + first + history, window // 4 + first + history)
+        cost = [-(-len((t or "").encode()) // 4) + 4 for _, _, _, t in own]
+        lead = cost[0] if own[0][2] == "system" and w.first_turn else 0
+        assert w.tokens <= window or w.n_turns == 1 and w.tokens == lead + cost[w.first_turn]
+        after = w.first_turn + w.n_turns
+        if after < len(own) and sum(cost[:after]) // (64 * window) == sum(cost[: w.first_turn]) // (64 * window):
+            assert w.tokens + cost[after] > window
         if own[0][2] == "system":
             assert w.formatted.startswith(f"{chat.START}system\n")
         assert w.repeated <= turns + 1
 
 
+def test_longest_spans_and_large_system_turns(spark):
+    even = [(1, k, "user" if k % 2 else "assistant", "x" * 1000) for k in range(12)]
+    large = [(2, 0, "system", "s" * 3000), *[(2, k, "assistant", "y" * 400) for k in range(1, 9)]]
+    df = spark.createDataFrame(even + large, "conv_id long, turn long, role string, text string")
+    found = chat.format_windows(df, history_tokens=0, history_turns=0).collect()
+    assert sorted(w.n_turns for w in found if w.conv_id == 1) == [4, 4, 4]  # 254 tokens each
+    assert all(w.tokens <= 1024 for w in found)
+    assert max(w.tokens for w in chat.format_windows(df).collect()) <= 1024
+    cut = chat.format_windows(df, stretch_windows=1)
+    assert sum(w.n_turns for w in cut.collect()) == len(even + large)
+    assert {r.conv_id: r.n_turns for r in chat.conversation_digests(cut).collect()} == {1: 12, 2: 9}
+
+
+def test_very_long_turn(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "long " * 200_000), (1, 2, "user", "q")], "conv_id long, turn long, role string, text string")
+    (r,) = chat.conversation_digests(chat.format_windows(df)).collect()
+    assert r.loss_chars == 1_000_000 and r.n_turns == 3
+
+
 def test_escape_is_reversible(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choices("<|~ab\n", k=rng.randrange(12))) for _ in range(400)]

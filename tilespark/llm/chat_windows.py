@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows, on DataFrame functions only.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns. The running count is laid over a grid of the
-window's budget: turns inside one grid cell make a span, and a turn that crosses a cell's edge makes one of its own, so a
-span exceeds the budget only where a single turn does. A window is the system turn, a limited history before the span, and
-the span. Only assistant turns of the span are under the loss mask, so a repeated target is masked and each is learned once.
+Prefix sums of turn tokens cut a conversation into stretches of many windows' budgets, which are then worked on apart, and a
+stretch into spans of whole turns, each as long as its window's budget allows. A window is the system turn, a limited history
+before the span, and the span. The history is left out where it leaves the span's first turn no room, so a window exceeds the
+budget only where the system turn and a single turn do. Only assistant turns of the span are under the loss mask, so a
+repeated target is masked and each is learned once.
 
 A turn is ``<|im_start|>role, line feed, text, <|im_end|>, line feed``. In texts each ``<``, any number of ``~`` and ``|``
 get one ``~`` more, which leaves no control string and is undone exactly; in roles ``<`` and line feeds are rewritten.
@@ -18,6 +19,7 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 WINDOW_TOKENS = 1024
 HISTORY_TOKENS = 256
 HISTORY_TURNS = 2
+STRETCH_WINDOWS = 64
 
 
 def escaped(text: Column) -> Column:
@@ -44,7 +46,7 @@ def turn_tokens(text: Column) -> Column:
 def format_windows(
     conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     window_tokens: int = WINDOW_TOKENS, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS,
-    target_role: str = "assistant", system_role: str = "system",
+    target_role: str = "assistant", system_role: str = "system", stretch_windows: int = STRETCH_WINDOWS,
 ) -> DataFrame:
     """One row per window: ``conv_id, first_turn, n_turns, repeated, tokens, formatted, loss_spans``.
 
@@ -53,7 +55,8 @@ def format_windows(
 
     Rows are ordered by turn, null first; ties by role, then text. Null roles and texts count as empty. Rows with a null
     conversation make one conversation. Repeated rows stay. An empty table gives an empty result. A conversation is read
-    in order by one task, as a stream: only the turns of one window are held together.
+    in order by one task, as a stream, for its prefix sums; the turns of a stretch, ``stretch_windows`` budgets and one turn
+    at most, are then held together. A stretch's first span does not go on from the stretch before.
     """
     rows = conversations.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
@@ -69,30 +72,40 @@ def format_windows(
         .withColumn("opening", first)
         .withColumn("past", F.array(*[F.lag(turn, k).over(order) for k in range(history_turns, 0, -1)]) if history_turns else F.array().cast("array<struct<role:string,text:string,tokens:bigint>>"))
     )
-    has_system = F.col("opening.role") == system_role
-    room = F.lit(window_tokens - history_tokens) - F.when(has_system, F.col("opening.tokens")).otherwise(F.lit(0))
-    room = F.greatest(room, F.lit(max(1, window_tokens // 4))).cast("long")
-    from_cell = F.call_function("div", F.col("after") - F.col("tokens"), room)
-    to_cell = F.call_function("div", F.col("after") - 1, room)
-    framed = F.struct("place", "role", "text", "tokens")
-    spans = (
-        seen.withColumn("from_cell", from_cell)
-        .withColumn("to_cell", to_cell)
-        .withColumn("begins", F.coalesce((F.lag("from_cell").over(order) != F.col("from_cell")) | (F.lag("to_cell").over(order) != F.col("to_cell")), F.lit(True)))
-        .groupBy("conv_id", "from_cell", "to_cell")
-        .agg(
-            F.sort_array(F.collect_list(framed)).alias("turns"),
-            F.first(F.when(F.col("begins"), F.struct("place", "past", "opening")), ignorenulls=True).alias("lead"),
-        )
-    )
-    # History: the last turns before the span that fit, but not the system turn, which leads anyway.
-    place = F.col("lead.place")
-    opening = F.col("lead.opening")
-    keeps_system = (opening["role"] == system_role) & (place > 0)
-    past = F.filter(F.col("lead.past"), lambda t, i: (place - history_turns + i) >= F.when(opening["role"] == system_role, 1).otherwise(0))
+    # History: the last turns before a turn that fit, but not the system turn, which leads anyway.
+    none = F.array().cast("array<struct<role:string,text:string,tokens:bigint>>")
+    keeps_system = (F.col("opening.role") == system_role) & (F.col("place") > 0)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, t: x + t["tokens"])
-    fits = F.filter(F.col("past"), lambda t, i: total(F.slice(F.col("past"), i + 1, F.size("past") - i)) <= history_tokens)
-    lead = F.concat(F.when(keeps_system, F.array(opening)).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>")), F.col("fits"))
+    past = F.filter("past", lambda t, i: (F.col("place") - history_turns + i) >= F.when(F.col("opening.role") == system_role, 1).otherwise(0))
+    fits = F.filter("past", lambda t, i: total(F.slice(F.col("past"), i + 1, F.size("past") - i)) <= history_tokens)
+    seen = (
+        seen.withColumn("past", past)
+        .withColumn("past", fits)
+        .withColumn("lead", F.when(keeps_system, F.col("opening.tokens")).otherwise(F.lit(0).cast("long")))
+        .withColumn("with_past", total(F.col("past")))
+        .withColumn("past", F.when(F.col("lead") + F.col("with_past") + F.col("tokens") <= window_tokens, F.col("past")).otherwise(none))
+        .withColumn("stretch", F.call_function("div", F.col("after") - F.col("tokens"), F.lit(stretch_windows * window_tokens).cast("long")))
+    )
+    framed = F.struct("place", "role", "text", "tokens", "past", (F.col("lead") + total(F.col("past"))).alias("opens"))
+    stretches = seen.groupBy("conv_id", "stretch").agg(F.sort_array(F.collect_list(framed)).alias("all_turns"), F.first("opening").alias("opening"))
+    # The places in the stretch at which spans begin; ``used`` is what the window so far takes.
+    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, t: Column) -> Column:
+        goes_on = (s["at"] > 0) & (s["used"] + t["tokens"] <= window_tokens)
+        return F.struct(
+            F.when(goes_on, s["used"] + t["tokens"]).otherwise(t["opens"] + t["tokens"]).alias("used"),
+            (s["at"] + 1).alias("at"),
+            F.when(goes_on, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"]))).alias("starts"),
+        )
+
+    starts = F.aggregate("all_turns", state, step, lambda s: s["starts"])
+    spans = stretches.withColumn("starts", starts).select("conv_id", "opening", "all_turns", "starts", F.posexplode("starts").alias("nth", "start"))
+    ends = F.coalesce(F.get("starts", F.col("nth") + 1), F.size("all_turns"))
+    spans = spans.select("conv_id", "opening", F.slice("all_turns", F.col("start") + 1, ends - F.col("start")).alias("turns"))
+    place = F.col("turns")[0]["place"]
+    system = F.when((F.col("opening.role") == system_role) & (place > 0), F.array("opening")).otherwise(none)
+    lead = F.concat(system, F.col("turns")[0]["past"])
     head = lambda t: F.concat(F.lit(START), role_out(t["role"]), F.lit("\n"))
     piece = lambda t, new: F.struct(head(t).alias("head"), escaped(t["text"]).alias("body"), (new & (t["role"] == target_role)).alias("loss"), t["tokens"].alias("tokens"))
     pieces = F.concat(F.transform("again", lambda t: piece(t, F.lit(False))), F.transform("turns", lambda t: piece(t, F.lit(True))))
@@ -109,13 +122,11 @@ def format_windows(
         lambda s: s["spans"],
     )
     return (
-        spans.withColumn("past", past)
-        .withColumn("fits", fits)
-        .withColumn("again", lead)
+        spans.withColumn("again", lead)
         .withColumn("pieces", pieces)
         .select(
             "conv_id",
-            F.col("lead.place").cast("long").alias("first_turn"),
+            place.cast("long").alias("first_turn"),
             F.size("turns").cast("long").alias("n_turns"),
             F.size("again").alias("repeated"),
             total(F.col("pieces")).alias("tokens"),
@@ -126,7 +137,10 @@ def format_windows(
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """Parse formatted windows: per window the new ``turns`` (role, text) and ``loss_text``, the unescaped text under the mask."""
+    """Parse formatted windows: per window the new ``turns`` (role, text) and ``loss_text``, the unescaped text under the mask.
+
+    Empty texts come back empty, null ones too; a window without targets has an empty ``loss_text``; no windows give no rows.
+    """
     parts = F.slice(F.split("formatted", r"<\|im_start\|>", -1), F.col("repeated") + 2, F.greatest(F.col("n_turns").cast("int"), F.lit(0)))
 
     def parsed(part: Column) -> Column:
@@ -139,7 +153,10 @@ def read_windows(windows: DataFrame) -> DataFrame:
 
 
 def conversation_digests(windows: DataFrame) -> DataFrame:
-    """Per conversation, read back from its windows: ``n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``."""
+    """Per conversation, read back from its windows: ``n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
+
+    A digest is of a conversation's whole text, so that text is one row's; no windows give no rows.
+    """
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = read_windows(windows).select(
         "conv_id",

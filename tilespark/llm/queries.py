@@ -94,7 +94,7 @@ ORACLE_SQL = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
     "op9_chat": rf"""
-        WITH c AS (
+        WITH RECURSIVE c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')
         ), t AS (
@@ -103,20 +103,28 @@ ORACLE_SQL = {
                 12 + length(replace(replace(role, '<', '<~l'), chr(10), '<~n')) + 1 + length(regexp_replace(text, '<(~*)\|', '<\1~|', 'g')) + 11 AS chars
             FROM c
         ), o AS (SELECT conv_id, role = 'system' AS sys, tok AS s_tok, chars AS s_chars FROM t WHERE r = 1),
-        a AS (
-            SELECT t.*, o.sys, o.s_chars, sum(tok) OVER (PARTITION BY t.conv_id ORDER BY r) AS after,
-                greatest({chat_windows.WINDOW_TOKENS - chat_windows.HISTORY_TOKENS} - CASE WHEN o.sys THEN o.s_tok ELSE 0 END, {chat_windows.WINDOW_TOKENS // 4}) AS room,
-                lag(tok, 1) OVER h AS t1, lag(tok, 2) OVER h AS t2, lag(chars, 1) OVER h AS c1, lag(chars, 2) OVER h AS c2
+        p AS (
+            SELECT t.*, o.sys, o.s_chars, CASE WHEN o.sys AND r > 1 THEN o.s_tok ELSE 0 END AS lead,
+                (sum(tok) OVER h - tok) // {chat_windows.STRETCH_WINDOWS * chat_windows.WINDOW_TOKENS} AS stretch,
+                CASE WHEN r > CASE WHEN sys THEN 2 ELSE 1 END THEN lag(tok, 1) OVER h END AS t1, CASE WHEN r > CASE WHEN sys THEN 3 ELSE 2 END THEN lag(tok, 2) OVER h END AS t2,
+                lag(chars, 1) OVER h AS c1, lag(chars, 2) OVER h AS c2
             FROM t JOIN o USING (conv_id) WINDOW h AS (PARTITION BY t.conv_id ORDER BY r)
-        ), n AS (
-            SELECT *, row_number() OVER (PARTITION BY conv_id, (after - tok) // room, (after - 1) // room ORDER BY r) AS nth FROM a
+        ), q AS (
+            SELECT *, CASE WHEN t1 <= {chat_windows.HISTORY_TOKENS} THEN t1 ELSE 0 END + CASE WHEN t1 + t2 <= {chat_windows.HISTORY_TOKENS} THEN t2 ELSE 0 END AS past,
+                CASE WHEN t1 <= {chat_windows.HISTORY_TOKENS} THEN c1 ELSE 0 END + CASE WHEN t1 + t2 <= {chat_windows.HISTORY_TOKENS} THEN c2 ELSE 0 END AS past_chars FROM p
+        ), u AS (
+            SELECT *, lead + past + tok <= {chat_windows.WINDOW_TOKENS} AS has_past FROM q
+        ), g AS (
+            SELECT conv_id, r, stretch, CAST(lead + CASE WHEN has_past THEN past ELSE 0 END + tok AS HUGEINT) AS used, true AS opens FROM u WHERE r = 1
+            UNION ALL
+            SELECT u.conv_id, u.r, u.stretch, CASE WHEN u.stretch = g.stretch AND g.used + u.tok <= {chat_windows.WINDOW_TOKENS} THEN g.used + u.tok ELSE u.lead + CASE WHEN has_past THEN past ELSE 0 END + u.tok END,
+                NOT (u.stretch = g.stretch AND g.used + u.tok <= {chat_windows.WINDOW_TOKENS})
+            FROM g JOIN u ON u.conv_id = g.conv_id AND u.r = g.r + 1
         )
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY r) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(chars + CASE WHEN nth > 1 THEN 0 ELSE CASE WHEN sys AND r > 1 THEN s_chars ELSE 0 END
-                + CASE WHEN r > CASE WHEN sys THEN 2 ELSE 1 END AND t1 <= {chat_windows.HISTORY_TOKENS} THEN c1 ELSE 0 END
-                + CASE WHEN r > CASE WHEN sys THEN 3 ELSE 2 END AND t1 + t2 <= {chat_windows.HISTORY_TOKENS} THEN c2 ELSE 0 END END) AS BIGINT) AS formatted_chars
-        FROM n GROUP BY conv_id
+            CAST(sum(chars + CASE WHEN opens THEN CASE WHEN sys AND r > 1 THEN s_chars ELSE 0 END + CASE WHEN has_past THEN past_chars ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM u JOIN g USING (conv_id, r) GROUP BY conv_id
     """,
 }
