@@ -39,11 +39,14 @@ SIMILARITY = (80, 100)
 SKETCH_BITS = 20
 CHUNK_BITS = 16
 PARTS = 64
-BITMAP_BITS = 20
+#: Bits of the bitmap of wanted texts: so many for each, within bounds.
+BITS_EACH = 16
+LEAST_BITMAP, MOST_BITMAP = 16, 26
 LIST_BLOCK = 256
 #: Longer lists are joined by differences from their hubs.
 LIST_PAIRS = 64
-SALTS = 8
+#: A text of more pairs goes to several tasks.
+SALT_PAIRS = 256
 SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -218,6 +221,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, level: np.ndarray, sim
     return classes.withColumn("key", F.monotonically_increasing_id())
 
 
+def _plain_id(doc_id: Column) -> tuple[Column, Column]:
+    """An id without null, and whether it was null: for joins by plain equality."""
+    return F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")
+
+
 def _pairs(a, b):
     """Columns of a pair in order of key."""
     first = F.col(f"{a}key") < F.col(f"{b}key")
@@ -248,15 +256,19 @@ class JaccardJoin:
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
         self.rows, self.level = _sets(docs, id_col, text_col)
         whole = written(_classes(docs, id_col, text_col, self.level, similarity))
+        release(docs.sparkSession)
         postings = written(self._postings(whole.table))
         slim = written(whole.table.drop("prefix"))
         whole.drop()
         self.classes, self.postings = slim.table, postings.table
         release(docs.sparkSession)
         first = checkpointed(self._near_pairs())
+        release(docs.sparkSession)
         links = self._verified(first)
         release(docs.sparkSession)
-        more = checkpointed(self._more_pairs(connected_components(links)).join(first, ["a", "b"], "left_anti"))
+        linked = connected_components(links)
+        release(docs.sparkSession)
+        more = checkpointed(self._more_pairs(linked).join(first, ["a", "b"], "left_anti"))
         postings.drop()
         release(docs.sparkSession)
         self.links = checkpointed(links.unionByName(self._verified(more)))
@@ -399,23 +411,30 @@ class JaccardJoin:
         overlap = F.aggregate(F.zip_with("parts_a", "parts_b", lambda v, w: F.least(v, w)), F.lit(0), lambda s, v: s + v)
         return pairs.join(x, "a").join(y, "b").where(F.lit(p + q) * overlap >= F.lit(p) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
-    def _texts(self, pairs: DataFrame) -> DataFrame:
-        """``key, text`` of the classes in ``pairs``. A bitmap of 16,384 words at most keeps most other texts out of the shuffle."""
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        wanted = checkpointed(self.classes.join(keys, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")))
-        bit = lambda *key: F.pmod(F.xxhash64(*key), F.lit(1 << BITMAP_BITS))
-        held = wanted.select(bit("rep_id", "rep_text").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
-        rows = _scan(self.docs, self.id_col, self.text_col, []).withColumn("bit", bit("doc_id", "text_key"))
-        rows = rows.join(F.broadcast(held), F.expr("bit div 64 = word")).where("(shiftrightunsigned(bits, cast(bit % 64 AS int)) & 1) = 1")
-        same = (F.col("rep_text") == F.col("text_key")) & F.col("rep_id").eqNullSafe(F.col("doc_id"))
-        return rows.join(wanted, same).select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
-
     def _with_texts(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, text_a, text_b``. A text of many pairs goes to as many tasks as ``SALTS`` says at most."""
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
-        texts = self._texts(pairs)
-        one = lambda c: texts.join(salted.select(F.col(c).alias("key"), "salt").distinct(), "key").select(F.col("key").alias(c), "salt", F.col("text").alias(f"text_{c}"))
-        return salted.join(one("a"), ["a", "salt"]).join(one("b"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
+        """``a, b, text_a, text_b``. Each wanted text is shuffled once, and then once for each of its pairs.
+
+        A bitmap that grows with the wanted texts keeps most others out of the shuffle. A text of more than ``SALT_PAIRS`` pairs
+        is dealt to several tasks.
+        """
+        sides = F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("key"), F.lit(False).alias("is_a"))))
+        asked = pairs.select("a", "b", sides.alias("side")).select("a", "b", "side.*")
+        numbers = asked.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"))
+        names = ("text_key", "id", "no_id")
+        rep = (F.col("rep.text_key").alias("text_key"), *_plain_id(F.col("rep.doc_id")))
+        wanted = checkpointed(self.classes.join(numbers, "key").select("key", *rep, F.ceil(F.col("pairs") / SALT_PAIRS).cast("int").alias("salts")))
+        bits = min(MOST_BITMAP, max(LEAST_BITMAP, (BITS_EACH * wanted.count()).bit_length()))
+        bit = F.pmod(F.xxhash64(*names), F.lit(1 << bits))
+        held = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+        rows = _scan(self.docs, self.id_col, self.text_col, []).select("text", "text_key", *_plain_id(F.col("doc_id"))).withColumn("bit", bit)
+        rows = rows.join(F.broadcast(held), F.expr("bit div 64 = word")).where("(shiftrightunsigned(bits, cast(bit % 64 AS int)) & 1) = 1")
+        heavy = F.broadcast(wanted.where("salts > 1").select(*names, "salts"))
+        rows = rows.join(heavy, [*names], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        texts = rows.groupBy(*names, "salt").agg(F.first("text").alias("text"))
+        asked = asked.join(wanted, "key").select("a", "b", "is_a", *names, F.pmod(F.xxhash64("a", "b"), "salts").cast("int").alias("salt"))
+        met = texts.join(asked, [*names, "salt"])
+        one = lambda is_a: F.max(F.when(F.col("is_a") == is_a, F.col("text")))
+        return met.groupBy("a", "b").agg(one(True).alias("text_a"), one(False).alias("text_b"))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the exact size of intersection and union of both whole texts' shingles."""

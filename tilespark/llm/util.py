@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -72,6 +74,14 @@ def sliced(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """What a worker has freed goes back to the machine: workers live on between tasks, and pools keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def release(spark: SparkSession) -> None:
