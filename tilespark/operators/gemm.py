@@ -7,21 +7,80 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.matrix import TILES
 
 INNER_SPAN = 16
+#: Products over at most so many inner indices are made row by row; rows that are broadcast; products of a task.
+MOST_WIDE = 16
+MOST_BROADCAST = 1 << 18
+TASK_PRODUCTS = 1 << 21
+MOST_TASKS = 10_000
+
+
+def inner_indices(cells: DataFrame, k: str) -> list | None:
+    """The inner indices of a factor, if they are few."""
+    found = [r[0] for r in cells.select(k).where(F.col(k).isNotNull()).distinct().limit(MOST_WIDE + 1).collect()]
+    return found if len(found) <= MOST_WIDE else None
+
+
+def wide_rows(cells: DataFrame, i: str, k: str, v: str, name: str, inner: list, *more) -> DataFrame:
+    """A row for each ``i``: its cells at the inner indices as columns, which of them it has as bits, ``more`` aggregates."""
+    columns = [F.sum(F.when(F.col(k) == c, F.col(v))).alias(f"{name}_{n}") for n, c in enumerate(inner)]
+    bits = [F.when(F.col(k) == c, F.lit(1 << n)) for n, c in enumerate(inner)]
+    held = F.coalesce(F.bit_or(F.coalesce(*bits)), F.lit(0)) if inner else F.first(F.lit(0))
+    return cut_lineage(cells.groupBy(F.col(i).alias(name)).agg(*columns, held.alias(f"{name}_held"), *more))
+
+
+def common(x: str, y: str) -> Column:
+    """Whether two wide rows have an inner index in common."""
+    return F.col(f"{x}_held").bitwiseAND(F.col(f"{y}_held")) != 0
+
+
+def inner_product(x: str, y: str, inner: list, kind) -> Column:
+    """Null where no product is known, as a sum of none."""
+    parts = [(F.col(f"{x}_{n}") * F.col(f"{y}_{n}")).cast(kind) for n in range(len(inner))]
+    if not parts:
+        return F.lit(None).cast(kind)
+    total = F.coalesce(parts[0], F.lit(0).cast(kind))
+    for p in parts[1:]:
+        total = total + F.coalesce(p, F.lit(0).cast(kind))
+    return F.when(F.coalesce(*parts).isNotNull(), total.cast(kind))
+
+
+def dealt(df: DataFrame, products: int, *by: str) -> DataFrame:
+    """In as many partitions as the products to be made of its rows ask for."""
+    return df.repartition(min(MOST_TASKS, max(1, -(-products // TASK_PRODUCTS))), *by)
+
+
+def all_pairs(left: DataFrame, right: DataFrame, by: str, other: str, on=None) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right``, without a shuffle of the pairs. Too many rows to broadcast meet in blocks."""
+    m, n = left.count(), right.count()
+    if n <= MOST_BROADCAST:
+        return dealt(left, m * n, by).join(F.broadcast(right), F.lit(True) if on is None else on)
+    blocks = -(-n // MOST_BROADCAST) * 16
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64(by), F.lit(64)).cast("int"))
+    right = right.withColumn("block", F.pmod(F.xxhash64(other), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    met = left.join(right, ["block", "part"]).drop("block", "part")
+    return met if on is None else met.where(on)
 
 
 def gemm(x: DataFrame, y: DataFrame, transpose_x: bool = False, transpose_y: bool = False) -> DataFrame:
-    """Cells of the product. Sums are combined before the second shuffle; Catalyst picks the join by the measured sizes."""
+    """Cells of the product. Over few inner indices whole rows meet and no product is shuffled. Else sums are combined before
+    the second shuffle, and Catalyst picks the join by the measured sizes."""
     i, k = ("j", "i") if transpose_x else ("i", "j")
     k2, j = ("j", "i") if transpose_y else ("i", "j")
     left = x.select(F.col(i).alias("i"), F.col(k).alias("k"), F.col("v").alias("x"))
     right = y.select(F.col(k2).alias("k"), F.col(j).alias("j"), F.col("v").alias("y"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    added = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    inner = inner_indices(right, "k")
+    if inner is None:
+        return added
+    met = all_pairs(wide_rows(left, "i", "k", "x", "i", inner), wide_rows(right, "j", "k", "y", "j", inner), "i", "j", common("i", "j"))
+    return met.select("i", "j", inner_product("i", "j", inner, added.schema["v"].dataType).alias("v"))
 
 
 def gram(x: DataFrame) -> DataFrame:
