@@ -16,10 +16,18 @@ TASK_QUERIES = 512
 def distances(x: DataFrame, y: DataFrame) -> DataFrame:
     """Cells of squared distances, zeros too, between all rows of two cell matrices that have cells: |x|² + |y|² − 2 x·y.
 
-    The result is a row per pair, so the rows of ``x`` go to every block of those of ``y`` and meet them there.
+    The result is a row per pair. Over few columns whole rows meet and no pair is shuffled; else the rows of ``x`` go to every
+    block of those of ``y`` and meet them there.
     """
-    from .gemm import gemm
-
+    from .gemm import all_pairs, gemm, inner_indices, inner_product, wide_rows
+
+    few = inner_indices(y, "j")
+    if few is not None:
+        size = F.sum(F.col("v") * F.col("v"))
+        left, right = (wide_rows(c, "i", "j", "v", n, few, size.alias(f"s_{n}")) for c, n in ((x, "i"), (y, "j")))
+        kind = x.select(size.alias("s")).schema["s"].dataType
+        dot = F.coalesce(inner_product("i", "j", few, kind), F.lit(0))
+        return all_pairs(left, right, "i", "j").select("i", "j", (F.col("s_i") + F.col("s_j") - 2 * dot).alias("v"))
     square = lambda c, n: c.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("s")).select(F.col("i").alias(n), F.col("s").alias(f"s_{n}"))
     right = square(y, "j")
     left, right = _met_by_block(square(x, "i"), right, "j", -(-right.count() // BLOCK))
