@@ -121,7 +121,13 @@ def syrk_lower(x: DataFrame) -> DataFrame:
     """The lower half of X Xᵀ."""
     left = x.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
     right = x.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("y"))
-    return left.join(right, "k").where(F.col("j") <= F.col("i")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    added = left.join(right, "k").where(F.col("j") <= F.col("i")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    inner = inner_indices(right, "k")
+    if inner is None:
+        return added
+    rows = wide_rows(left, "i", "k", "x", "i", inner)
+    met = all_pairs(rows, rows.select(*[F.col(c).alias("j" + c[1:]) for c in rows.columns]), "i", "j", common("i", "j") & (F.col("j") <= F.col("i")))
+    return met.select("i", "j", inner_product("i", "j", inner, added.schema["v"].dataType).alias("v"))
 
 
 def gemm_missing(x: DataFrame, y: DataFrame, done: DataFrame, tile: tuple[int, int]) -> DataFrame:
