@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilespark.operators import factor, gemm, neighbors, reshard, views
 from tilespark.operators.reduce import arg_extreme, reduce
@@ -171,3 +172,50 @@ GRAPHS = [
 def test_task_graphs(spark, p, tasks, edges, starters, terminators):
     assert (p.tasks(spark).count(), p.edges(spark).count(), p.starters(spark).count(), p.terminators(spark).count()) == (tasks, edges, starters, terminators)
     assert p.doubly_written(spark).isEmpty()
+
+
+def exchanged_rows(df):
+    """The most rows that an exchange of the run moved."""
+
+    def below(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            plan = plan.executedPlan()
+        own = [plan.metrics().apply("shuffleRecordsWritten").value()] if plan.nodeName() == "Exchange" else []
+        inner = [plan.plan()] if plan.nodeName().startswith("ShuffleQueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
+        return own + [x for p in inner for x in below(p)]
+
+    df.collect()
+    return max(below(df._jdf.queryExecution().executedPlan()), default=0)
+
+
+def test_pairs_over_few_columns_are_not_shuffled(spark):
+    a = rng.integers(0, 3, (40, 4))
+    cells = spark.createDataFrame([(int(i), int(j), int(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, v long").localCheckpoint()
+    whole, used = a @ a.T, a != 0
+    there = used.astype(int) @ used.T.astype(int) > 0
+    products = {
+        "gemm": (gemm.gemm(cells, cells, transpose_y=True), there), "syrk": (gemm.syrk_lower(cells), np.tril(there)),
+        "missing": (gemm.gemm_missing(cells, views.transpose(cells), cells.where("false"), (10, 10)), there),
+    }
+    for name, (found, wanted) in products.items():
+        assert {(r.i, r.j): r.v for r in found.collect()} == {(i, j): whole[i, j] for i, j in zip(*np.nonzero(wanted))}, name
+        assert exchanged_rows(found) <= cells.count(), name
+    assert exchanged_rows(neighbors.distances(cells, cells)) <= cells.count()
+
+
+def test_rows_that_are_too_many_to_broadcast(spark, monkeypatch):
+    a = rng.integers(1, 3, (12, 3))
+    cells = spark.createDataFrame([(int(i), int(j), int(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, v long")
+    monkeypatch.setattr(gemm, "MOST_BROADCAST", 4)
+    for found in (gemm.gemm(cells, cells, transpose_y=True), gemm.gemm_missing(cells, views.transpose(cells), cells.where("false"), (5, 5))):
+        assert {(r.i, r.j): r.v for r in found.collect()} == {(i, j): (a @ a.T)[i, j] for i in range(12) for j in range(12)}
+
+
+def test_grid_of_a_parent_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "STRETCH", 7)
+    rows = [(0, 0, 5), (0, 6, 6), (0, 7, None), (2, 19, 8), (2, 3, 9), (2, 3, 10), (9, 0, 1), (1, 20, 1), (None, 1, 1)]
+    cells = spark.createDataFrame(rows, "i long, j long, v long")
+    found = matrix.with_parent(cells, Meta((4, 20), (2, 2)), -F.col("i") * 100 - F.col("j"))
+    wanted = [(i, j, v) for i in range(4) for j in range(20) for v in ([c if c is not None else -i * 100 - j for a, b, c in rows if (a, b) == (i, j)] or [-i * 100 - j])]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert exchanged_rows(found) < 20

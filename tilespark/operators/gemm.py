@@ -141,7 +141,17 @@ def gemm_missing(x: DataFrame, y: DataFrame, done: DataFrame, tile: tuple[int, i
     if last is None:
         return left.join(right, "k").select("i", "j", F.col("x").alias("v")).where("false")
     grid = left.select("bi").distinct().withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-    pairs = left.join(grid.join(there, ["bi", "bj"], "left_anti"), "bi").join(right, ["k", "bj"])
+    missing = grid.join(there, ["bi", "bj"], "left_anti")
+    pairs = left.join(missing, "bi").join(right, ["k", "bj"])
+    inner = inner_indices(right, "k")
+    if inner is not None:
+        kind = pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")).schema["v"].dataType
+        rows = wide_rows(left, "i", "k", "x", "i", inner, F.first("bi").alias("bi"))
+        cols = wide_rows(right, "j", "k", "y", "j", inner, F.first("bj").alias("bj"))
+        m, n = rows.count(), cols.count()
+        small = lambda df, size: F.broadcast(df) if size <= MOST_BROADCAST else df
+        met = dealt(missing, m * n, "bi", "bj").join(small(rows, m), "bi").join(small(cols, n), "bj").where(common("i", "j"))
+        return met.select("i", "j", inner_product("i", "j", inner, kind).alias("v"))
     return pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
