@@ -181,7 +181,7 @@ def exchanged_rows(df):
         if plan.nodeName().startswith("AdaptiveSparkPlan"):
             plan = plan.executedPlan()
         own = [plan.metrics().apply("shuffleRecordsWritten").value()] if plan.nodeName() == "Exchange" else []
-        inner = [plan.plan()] if plan.nodeName().startswith("ShuffleQueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
+        inner = [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(k) for k in range(plan.children().size())]
         return own + [x for p in inner for x in below(p)]
 
     df.collect()
