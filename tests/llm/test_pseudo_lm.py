@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,3 +102,43 @@ def test_rare_words_have_shares_of_their_id(spark):
     assert by[0].log_likelihood - by[1].log_likelihood == pytest.approx(np.log(5 / 3), abs=1e-4)
     assert sum(np.exp(by[k].log_likelihood) for k in range(3)) == pytest.approx(np.exp(by[0].log_likelihood) * 9 / 5, rel=1e-3)
     assert by[3].log_likelihood == pytest.approx(by[6].log_likelihood, abs=1e-4) and by[4].mean_log_likelihood is None
+
+
+def test_words_beyond_the_vocabulary_meet_their_counts_in_packets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(0, 40)) % 3000) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    net, known, tables = lm.Network(1), ["w1", "w2"], []
+    monkeypatch.setattr(lm, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(lm, "written", lambda df, f=lm.written: tables.append(f(df)) or tables[-1])
+    ids = [[known.index(w) + 1 + lm.RARE if w in known else 1 + zlib.crc32(w.encode()) % lm.RARE for w in t.split()] for t in texts]
+    n = Counter(w for t in texts for w in t.split())
+    totals = Counter(i for t in ids for i in t)
+    for most in (1 << 22, 4):  # a packet for each id, and many
+        monkeypatch.setattr(lm, "GROUP_WORDS", most, raising=False)
+        by = {r.doc_id: r for r in lm.score(docs, known, net).collect()}
+        assert len(by) == len(texts)
+        for k, (t, own) in enumerate(zip(texts, ids)):
+            wide, place = lm.spread(np.array(own, int), np.array([0, len(own)]))
+            each = net.log_probabilities(net.hidden(wide[place[:, None] + lm.SHIFTS]), np.array(own)) if own else np.zeros(0)
+            shares = [np.log(n[w] / totals[i]) for w, i in zip(t.split(), own) if i <= lm.RARE]
+            assert by[k].n_tokens == len(own) and by[k].log_likelihood == pytest.approx(each.sum() + sum(shares), abs=2e-3)
+        if most > 4:
+            slices = sum(map(len, texts)) // 2000 + 2
+            assert tables[-1].table.count() <= slices * (lm.RARE + 1) < sum(len(set(t.split())) for t in texts)
+
+
+def test_words_and_hashes_equal_plain_python():
+    import pyarrow as pa
+
+    texts = pa.array(["dropped", "", None, " \t", "a\x0bB\x0cc\x1cD É ß", "x" * 20000 + " " + "y" * 300, *[f"W{k}  v{k}\r\n" for k in range(200)], "last", "dropped"]).slice(1, 206)
+    words, bounds = lm.words_of(texts)
+    plain = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts.to_pylist()]
+    assert [words.slice(a, b - a).to_pylist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())] == plain
+    which = np.arange(0, len(words), 3)
+    assert lm.hashes_of(words, which).tolist() == [zlib.crc32(words[int(k)].as_py()) for k in which]
+    sizes = [lm.LONG + k % 3 - 1 for k in range(210)]
+    long = pa.array([b"%03d" % k + b"x" * (n - 3) for k, n in enumerate(sizes)], pa.large_binary())
+    assert lm.hashes_of(long, np.arange(210)).tolist() == [zlib.crc32(x.as_py()) for x in long]
+    n = np.array([0, 1, 255, 256, 2**31 - 1])
+    assert lm.numbers(lm.planes(n)).tolist() == n.tolist()

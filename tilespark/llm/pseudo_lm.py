@@ -7,7 +7,7 @@ word in ten masked; partitions' networks are averaged by their masked words, and
 A document's score is the sum of the log-probabilities of all its words, each predicted from both sides.
 
 The vocabulary grows with the corpus: about ``6.25 sqrt(distinct words)`` words, 4032 at least. Words beyond it share ids by
-hash; the network predicts the id, and the word's share of its id's count, from a distributed table, is its probability there.
+hash; the network predicts the id, and the word's share of its id's count, summed in groups of words, is its probability there.
 """
 
 from __future__ import annotations
@@ -41,6 +41,13 @@ RATE = 0.1
 BLOCKS = 16
 SLICE_BYTES = 4 << 20
 PLACES = 1 << 13
+GROUP_WORDS = 1 << 22  # most words of the corpus for a bucket of hashes, on average
+LONG = 1 << 14  # bytes of a word that are hashed along with other words
+
+SPACES = b"\t\n\v\f\r "
+IN_WORD = bytes(k not in SPACES for k in range(256))
+LOWER = bytes(range(256)).lower()
+CRC = np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], np.uint32)
 
 
 def side_of(words: int) -> int:
@@ -194,16 +201,43 @@ def spread(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return wide, place
 
 
-def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words between ASCII white space, ASCII letters lower-cased, which of them each word is, and where each text's begin.
-
-    Texts with white space at an end have empty words. Arrow's string functions misread slices of large arrays, so the texts
-    are copied out first.
-    """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string())))
-    bounds = split.offsets.to_numpy().astype(np.int64)
-    coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), bounds - bounds[0]
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII white space, ASCII letters lower-cased, and where each text's begin (one more entry than texts)."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""
+    offsets = offsets - offsets[0]
+    inside = np.frombuffer(data.translate(IN_WORD), bool)
+    edge = np.zeros(len(data) + 1, bool)  # places where a text begins or ends
+    edge[offsets] = True
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    begin = np.flatnonzero(begin)
+    upto = np.concatenate([[0], np.cumsum(np.flatnonzero(end) + 1 - begin)])
+    kept = data.translate(LOWER, SPACES)
+    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(upto), pa.py_buffer(kept)]), np.searchsorted(begin, offsets)
+
+
+def hashes_of(words: pa.Array, which: np.ndarray) -> np.ndarray:
+    """CRC-32 of some of the words, a byte of all of them at a time; the last bytes of the few longest each on their own."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    size = offsets[which + 1] - offsets[which]
+    order = np.argsort(-np.minimum(size, LONG + 1).astype(np.int16), kind="stable")
+    size, at = size[order], offsets[which[order]]
+    crc, upto, left = np.full(len(which), 0xFFFFFFFF, np.uint32), 0, len(which)
+    while (left := int(np.searchsorted(-size[:left], -upto))) > 64 and upto < LONG:
+        now = crc[:left]
+        crc[:left] = CRC[(now ^ data[at[:left] + upto]) & 255] ^ (now >> 8)
+        upto += 1
+    crc = crc ^ np.uint32(0xFFFFFFFF)
+    for k in range(left):
+        crc[k] = zlib.crc32(data[at[k] + upto : at[k] + size[k]], int(crc[k]))
+    out = np.empty(len(which), np.int64)
+    out[order] = crc
+    return out
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -212,10 +246,9 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, 0):
-                lower, codes, _ = words_of(batch.column(0))
-                n = np.bincount(codes, minlength=len(lower))
-                kept = [k for k, w in enumerate(lower) if w]
-                yield pa.RecordBatch.from_pydict({"word": pa.array([lower[k] for k in kept], pa.binary()).cast(pa.string()), "n": pa.array(n[kept], pa.int64())})
+                coded = words_of(batch.column(0))[0].dictionary_encode()
+                n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                yield pa.RecordBatch.from_pydict({"word": coded.dictionary.cast(pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64())})
 
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return written(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))).table
@@ -242,38 +275,66 @@ class Words:
     """Texts to ids."""
 
     def __init__(self, words: list[str]):
-        self.id = {w.encode(): k for k, w in enumerate(words, 1 + RARE)}
+        self.known = pa.array([w.encode() for w in words], pa.large_binary())
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its id; then which words are beyond the vocabulary, and their hashes."""
+        ids = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy() + np.int32(1 + RARE)
+        beyond = np.flatnonzero(ids == RARE)
+        hashes = hashes_of(words, beyond)
+        ids[beyond] = 1 + hashes % RARE
+        return ids, beyond, hashes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of all texts, and where each text's begin (one more entry than texts)."""
-        return self.coded(texts)[:2]
-
-    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """As ``encode``; then the distinct words, and which of them each word is."""
-        lower, codes, bounds = words_of(texts)
-        ids = np.array([0 if not w else self.id.get(w) or 1 + zlib.crc32(w) % RARE for w in lower] or [0], np.int32)
-        flat = ids[codes] if len(codes) else np.empty(0, np.int32)
-        real = np.concatenate([[0], np.cumsum(flat > 0)])
-        return flat[flat > 0], real[bounds], lower, codes[flat > 0]
-
-
-def rare_words(ids: np.ndarray, bounds: np.ndarray, lower: list[bytes], codes: np.ndarray) -> tuple[list[bytes], pa.Array, pa.Array]:
-    """The distinct words beyond the vocabulary, and of each the texts that hold it and how often."""
-    rare, texts = ids <= RARE, max(1, len(bounds) - 1)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[rare]
-    each, times = np.unique(codes[rare].astype(np.int64) * texts + row, return_counts=True)
+        words, bounds = words_of(texts)
+        return self.ids(words)[0], bounds
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """As ``encode``; then which of the distinct words beyond the vocabulary each word is, or -1; these words, and their hashes."""
+        words, bounds = words_of(texts)
+        coded = words.dictionary_encode()
+        ids, beyond, hashes = self.ids(coded.dictionary)
+        which = np.full(len(ids), -1, np.int32)
+        which[beyond] = np.arange(len(beyond))
+        codes = coded.indices.to_numpy()
+        return ids[codes], bounds, which[codes], coded.dictionary.take(pa.array(beyond)), hashes
+
+
+def planes(values: np.ndarray, kind: type = np.int32) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: small numbers are packed well by any compression."""
+    return values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def numbers(packed: bytes, kind: type = np.int32) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def packets(bounds: np.ndarray, which: np.ndarray, rare: pa.Array, hashes: np.ndarray, buckets: int) -> tuple[list[tuple], tuple[bytes, bytes, bytes]]:
+    """The distinct words beyond the vocabulary by bucket of their hash, with how often each occurs; and, for these words in
+    that order, the number of texts that hold it, those texts, and how often each does."""
+    texts, bucket = max(1, len(bounds) - 1), hashes % buckets
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(rare), np.int64)
+    rank[order] = np.arange(len(rare))
+    row, held = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), which >= 0
+    each, times = np.unique(rank[which[held]] * texts + row[held], return_counts=True)
     word, row = np.divmod(each, texts)
-    held, first = np.unique(word, return_index=True)
-    ends = pa.array([*first, len(each)], pa.int32())
-    return [lower[k] for k in held.tolist()], pa.ListArray.from_arrays(ends, pa.array(row, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+    n = np.bincount(word, times, len(rare)).astype(np.int64)
+    rare = rare.take(pa.array(order)).to_pylist()
+    found, first = np.unique(bucket[order], return_index=True)
+    spans = zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(rare)])
+    return [(b, b" ".join(rare[lo:hi]), planes(n[lo:hi]), int(n[lo:hi].sum())) for b, lo, hi in spans], (planes(np.bincount(word, minlength=len(rare))), planes(row), planes(times))
 
 
-def log_shares(counts: DataFrame, words: list[str]) -> DataFrame:
-    """``word, log_share`` of the words beyond the vocabulary: the log of their share of all words of their id."""
-    known = counts.sparkSession.createDataFrame(pd.DataFrame({"word": pd.Series(words, dtype=object)}), "word string")
-    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("id", F.crc32(F.col("word").cast("binary")) % RARE)
-    totals = rare.groupBy("id").agg(F.sum("n").alias("total"))
-    return rare.join(F.broadcast(totals), "id").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
+def corpus_counts(table: pa.Table) -> pa.Table:
+    """Of all packets of a bucket, how often each of their words occurs in all of them."""
+    words, bounds = words_of(table.column("words").combine_chunks())
+    codes = words.dictionary_encode().indices.to_numpy()
+    times = np.concatenate([numbers(x) for x in table.column("times").to_pylist()])
+    n = np.bincount(codes, times)[codes]
+    counts = [planes(n[a:b], np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "counts": pa.array(counts, pa.binary())})
 
 
 def train(docs: DataFrame, words: list[str], text_col: str = "text", rounds: int = ROUNDS, seed: int = 1) -> Network:
@@ -323,18 +384,21 @@ def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "do
     """Per input row: ``doc_id, n_tokens, log_likelihood, mean_log_likelihood``, over all words of the whole text.
 
     A word beyond the vocabulary has its id's probability times its share of the id's count; ``counts`` are those of ``docs``.
+    Such words meet their counts in packets, of a slice's words in a bucket of their hash; only counts come back to the slice.
     Null, empty and wordless texts have no tokens, a sum of 0 and a null mean. Equal texts score alike up to rounding to
     six places; repeated rows stay; an empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     flat, side = network.flat(), network.side
+    all_words = (counted(docs, text_col) if counts is None else counts).agg(F.sum("n")).first()[0] or 0
+    buckets = RARE * max(1, math.ceil(all_words / (RARE * GROUP_WORDS)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, net, slices = Words(words), Network.of(flat, side), 0
         scorer = net.scorer()
         for whole in batches:
             for batch in sliced(whole, 1, SLICE_BYTES):
-                ids, bounds, lower, codes = encoder.coded(batch.column(1))
+                ids, bounds, which, rare, hashes = encoder.coded(batch.column(1))
                 wide, place = spread(ids, bounds)
                 each = np.zeros(len(wide))
                 for lo in range(SIDE, len(wide) - SIDE, PLACES):
@@ -345,33 +409,36 @@ def score(docs: DataFrame, words: list[str], network: Network, id_col: str = "do
                 total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
                 at = (batch.column(2)[0].as_py() << 32) + slices
                 slices += 1
-                k = len(n)
-                yield pa.RecordBatch.from_pydict(
-                    {"slice": pa.array([at] * k, pa.int64()), "row": pa.array(range(k), pa.int32()), "doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "total": pa.array(total, pa.float64()),
-                     "word": pa.nulls(k, pa.string()), "rows": pa.nulls(k, pa.list_(pa.int32())), "times": pa.nulls(k, pa.list_(pa.int32()))}
-                )
-                rare, held, times = rare_words(ids, bounds, lower, codes)
-                k = len(rare)
+                packed, held = packets(bounds, which, rare, hashes, buckets)
+                k = len(packed)
+                bucket, joined, times, sums = zip(*packed) if packed else [()] * 4
+                lists = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "total": pa.array(total, pa.float64())}
                 yield pa.RecordBatch.from_pydict(
-                    {"slice": pa.array([at] * k, pa.int64()), "row": pa.nulls(k, pa.int32()), "doc_id": pa.nulls(k, pa.int64()), "n_tokens": pa.nulls(k, pa.int64()), "total": pa.nulls(k, pa.float64()),
-                     "word": pa.array(rare, pa.binary()).cast(pa.string()), "rows": held, "times": times}
+                    {"slice": pa.array([at] * (k + 1), pa.int64()), "bucket": pa.array([*bucket, None], pa.int64()), "words": pa.array([*joined, None], pa.binary()), "times": pa.array([*times, None], pa.binary()), "n": pa.array([*sums, None], pa.int64()),
+                     **{c: pa.concat_arrays([pa.nulls(k, pa.list_(x.type)), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)]) for c, x in lists.items()},
+                     **{c: pa.array([None] * k + [x], pa.binary()) for c, x in zip(("texts", "text", "often"), held)}}
                 )
 
-    def shares(table: pa.Table) -> pa.Table:
-        """Of a slice's texts the sums over their rare words."""
-        held, times = table.column("rows").combine_chunks(), table.column("times").combine_chunks()
-        weights = np.repeat(table.column("log_share").to_numpy(), pc.list_value_length(held).to_numpy()) * pc.list_flatten(times).to_numpy()
-        row = pc.list_flatten(held).to_numpy()
-        sums, found = np.bincount(row, weights), np.unique(row)
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()] * len(found), pa.int64()), "row": pa.array(found, pa.int32()), "more": pa.array(sums[found])})
-
-    both = written(rows.mapInArrow(run, "slice long, row int, doc_id long, n_tokens long, total double, word string, rows array<int>, times array<int>")).table
-    logs = log_shares(counted(docs, text_col) if counts is None else counts, words)
-    rare = both.where("word is not null").join(logs, "word").select("slice", "rows", "times", "log_share")
-    more = rare.groupBy("slice").applyInArrow(shares, "slice long, row int, more double")
-    total = F.col("total") + F.coalesce("more", F.lit(0.0))
-    return both.where("row is not null").join(more, ["slice", "row"], "left").select(
-        "doc_id", "n_tokens", F.round(total, 6).alias("log_likelihood"), F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 6)).alias("mean_log_likelihood")
+    both = written(rows.mapInArrow(run, "slice long, bucket long, words binary, times binary, n long, doc_id array<long>, n_tokens array<long>, total array<double>, texts binary, text binary, often binary")).table
+    sums = dict(both.where("bucket is not null").groupBy((F.col("bucket") % RARE).alias("id")).agg(F.sum("n")).collect())  # at most RARE rows
+    logs = np.log([sums.get(k, 1) for k in range(RARE)])
+
+    def shares(own: pa.Table, back: pa.Table) -> pa.Table:
+        """A slice's texts, their sums with those over their rare words."""
+        own, back = {c: own.column(c)[0] for c in own.column_names}, back.sort_by("bucket")
+        total, bucket = own["total"].values.to_numpy(), back.column("bucket").to_numpy()
+        if len(bucket):
+            n = [numbers(x, np.int64) for x in back.column("counts").to_pylist()]
+            share = np.log(np.concatenate(n)) - np.repeat(logs[bucket % RARE], [len(x) for x in n])
+            texts, text, often = (numbers(own[c].as_py()) for c in ("texts", "text", "often"))
+            total = total + np.bincount(text, np.repeat(share, texts) * often, len(total))
+        return pa.table({"doc_id": own["doc_id"].values, "n_tokens": own["n_tokens"].values, "total": pa.array(total)})
+
+    back = both.where("bucket is not null").select("slice", "bucket", "words", "times").groupBy("bucket").applyInArrow(corpus_counts, "slice long, bucket long, counts binary")
+    own = both.where("bucket is null").select("slice", "doc_id", "n_tokens", "total", "texts", "text", "often")
+    scored = own.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(shares, "doc_id long, n_tokens long, total double")
+    return scored.select(
+        "doc_id", "n_tokens", F.round("total", 6).alias("log_likelihood"), F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("n_tokens"), 6)).alias("mean_log_likelihood")
     )
 
 
