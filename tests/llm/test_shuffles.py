@@ -39,3 +39,21 @@ def test_memory_goes_back(monkeypatch):
     monkeypatch.setattr(util, "give_back", lambda: gone.append(1))
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 30]})
     assert sum(x.num_rows for x in util.sliced(batch, 0, 12)) == 3 and gone == [1]
+
+
+def test_members_of_long_lists_that_link_with_none_are_not_written_as_sets(spark, monkeypatch):
+    """As in a corpus so large that counts tell no shingle from another: a common passage is in many prefixes."""
+    sets, asked = ngram_jaccard._sets, []
+    monkeypatch.setattr(ngram_jaccard, "LIST_PAIRS", 4)
+    monkeypatch.setattr(ngram_jaccard, "_sets", lambda *a: (lambda rows, level: (rows, level * 0))(*sets(*a)))
+    differences = ngram_jaccard.JaccardJoin._differences
+    monkeypatch.setattr(ngram_jaccard.JaccardJoin, "_differences", lambda self, lists: asked.append(lists.select("key").distinct().count()) or differences(self, lists))
+    passage = " ".join(f"p{k}" for k in range(40))
+    own = lambda i: [f"w{i}x{k}" for k in range(160)]
+    rows = [(i, " ".join([passage, *own(i)])) for i in range(40)]
+    rows += [(100 + i, " ".join([passage, *own(i)[:-4]])) for i in range(6)] + [(200 + i, " ".join([passage, *own(90 + i // 2)[i % 2 :]])) for i in range(6)]
+    join = ngram_jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r.component_id for r in join.documents().collect()}
+    same = {100 + i: i for i in range(6)} | {200 + i: 200 + i // 2 * 2 for i in range(6)}
+    assert found == {d: same.get(d, d) for d, _ in rows}
+    assert sum(asked) <= 18  # the near copies at most, not the 34 that only share the passage

@@ -9,7 +9,8 @@ overlap of what remains (suffix filter). A pair that passes is verified once, on
 
 Links matter for what they connect, so no group's pairs are all made. First every posting list gives a star around its
 member with the fewest shingles of its own, its hub, and a chain by size: a pair per posting. Then short lists give the pairs
-between what are still different components. Near but unlike members of a long list are told apart by how they differ from
+between what are still different components. Of long lists, members go first that hold too many shingles alone to link with
+any other, like most that only share a passage. Near but unlike ones that stay are told apart by how they differ from
 the hub: ``x`` and ``y`` differ in as many shingles as their two symmetric differences from it do, so where not both are
 linked to the hub, a link makes those differences overlap by about half at least. They are joined like the sets before, rarest
 first by exact counts around the hub, and what only one member has takes its prefix up without meeting anyone. A link inside a
@@ -48,6 +49,9 @@ LIST_PAIRS = 64
 #: A text of more pairs goes to several tasks.
 SALT_PAIRS = 256
 SLICE_BYTES = 1 << 20
+#: What tells a row of the documents, and one of how many shingles is looked at where members of long lists are told apart.
+ROW = ("text_key", "id", "no_id")
+ONE_OF = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -226,6 +230,11 @@ def _plain_id(doc_id: Column) -> tuple[Column, Column]:
     return F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")
 
 
+def _rep() -> tuple[Column, ...]:
+    """The columns ``ROW`` of a class's row."""
+    return F.col("rep.text_key").alias("text_key"), *_plain_id(F.col("rep.doc_id"))
+
+
 def _pairs(a, b):
     """Columns of a pair in order of key."""
     first = F.col(f"{a}key") < F.col(f"{b}key")
@@ -305,10 +314,18 @@ class JaccardJoin:
         long = F.col("members") > LIST_PAIRS
         pairs, kept = self._pairs_across(mixed.table.where(~long)), [mixed]
         if not mixed.table.where(long).isEmpty():
-            sets = written(self._differences(mixed.table.where(long)))
-            around = written(self._mixed_lists(self._difference_lists(sets.table), components))
-            kept += [sets, around]
-            pairs = pairs.unionByName(sets.table.where("linked").select(*_pairs("hub_", ""))).unionByName(self._pairs_across(around.table)).distinct()
+            left = written(self._mixed_lists(self._without_lone(mixed.table.where(long)).select(*lists.columns), components))
+            release(self.docs.sparkSession)
+            kept.append(left)
+            pairs = pairs.unionByName(self._pairs_across(left.table.where(~long)))
+            if not left.table.where(long).isEmpty():
+                sets = written(self._differences(left.table.where(long)))
+                release(self.docs.sparkSession)
+                around = written(self._mixed_lists(self._difference_lists(sets.table), components))
+                release(self.docs.sparkSession)
+                kept += [sets, around]
+                pairs = pairs.unionByName(sets.table.where("linked").select(*_pairs("hub_", ""))).unionByName(self._pairs_across(around.table))
+            pairs = pairs.distinct()
         pairs = checkpointed(self._suffix_filtered(pairs))
         for w in kept:
             w.drop()
@@ -331,6 +348,29 @@ class JaccardJoin:
         met = left.join(right, (F.col("x_token") == F.col("y_token")) & apart & once & _may_link("x_", "y_", self.similarity, "d"))
         return met.select(*_pairs("x_", "y_")).distinct()
 
+    def _without_lone(self, lists: DataFrame) -> DataFrame:
+        """``lists`` less the members of which so many shingles are held by no other member of any of them that they link with none.
+
+        One of ``ONE_OF`` shingles by hash is looked at, the same of all members. A link leaves at most ``1 - t`` of a set's
+        shingles to it alone. Without this, each member that only shares a passage with a hub would be written as two whole
+        sets for each of its lists, and the more lists grow long, the more there are of these.
+        """
+        p, q = self.similarity
+        members = checkpointed(lists.select("key").distinct().join(self.classes, "key").select("key", "n", *_rep()))
+
+        def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, sets in _runs(batch, 1):
+                    sets = [s[s % np.uint64(ONE_OF) == 0] for s in sets]
+                    row = np.repeat(rows.column(0).to_numpy(), [len(s) for s in sets])
+                    yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "shingle": pa.array(np.concatenate(sets).view(np.int64), pa.int64())})
+
+        row = F.xxhash64(*ROW).alias("row")
+        each = self._rows_about(members).select(row, "text").mapInArrow(some, "row long, shingle long")
+        alone = each.groupBy("shingle").agg(F.min("row").alias("row"), F.max("row").alias("other")).where("row = other")
+        lone = members.withColumn("row", row).join(alone.groupBy("row").agg(F.count(F.lit(1)).alias("own")), "row").where(F.lit(q) * F.col("own") > F.lit(q - p) * F.col("n"))
+        return lists.join(checkpointed(lone.select("key")), "key", "left_anti")
+
     def _differences(self, lists: DataFrame) -> DataFrame:
         """``hub_key, key, n, hub_n, d, linked, extra, missing``: what the members of each list have beyond its hub, and what they lack of it."""
         hubs = lists.groupBy("token").agg(F.min(F.struct("own", "key"))["key"].alias("hub_key"))
@@ -411,6 +451,14 @@ class JaccardJoin:
         overlap = F.aggregate(F.zip_with("parts_a", "parts_b", lambda v, w: F.least(v, w)), F.lit(0), lambda s, v: s + v)
         return pairs.join(x, "a").join(y, "b").where(F.lit(p + q) * overlap >= F.lit(p) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
+    def _rows_about(self, wanted: DataFrame) -> DataFrame:
+        """``text`` and the columns ``ROW`` of all rows that are ``wanted``, and of few others: a bitmap of those lets them through."""
+        bits = min(MOST_BITMAP, max(LEAST_BITMAP, (BITS_EACH * wanted.count()).bit_length()))
+        bit = F.pmod(F.xxhash64(*ROW), F.lit(1 << bits))
+        held = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+        rows = _scan(self.docs, self.id_col, self.text_col, []).select("text", "text_key", *_plain_id(F.col("doc_id"))).withColumn("bit", bit)
+        return rows.join(F.broadcast(held), F.expr("bit div 64 = word")).where("(shiftrightunsigned(bits, cast(bit % 64 AS int)) & 1) = 1")
+
     def _with_texts(self, pairs: DataFrame) -> DataFrame:
         """``a, b, text_a, text_b``. Each wanted text is shuffled once, and then once for each of its pairs.
 
@@ -420,14 +468,9 @@ class JaccardJoin:
         sides = F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("key"), F.lit(False).alias("is_a"))))
         asked = pairs.select("a", "b", sides.alias("side")).select("a", "b", "side.*")
         numbers = asked.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"))
-        names = ("text_key", "id", "no_id")
-        rep = (F.col("rep.text_key").alias("text_key"), *_plain_id(F.col("rep.doc_id")))
-        wanted = checkpointed(self.classes.join(numbers, "key").select("key", *rep, F.ceil(F.col("pairs") / SALT_PAIRS).cast("int").alias("salts")))
-        bits = min(MOST_BITMAP, max(LEAST_BITMAP, (BITS_EACH * wanted.count()).bit_length()))
-        bit = F.pmod(F.xxhash64(*names), F.lit(1 << bits))
-        held = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
-        rows = _scan(self.docs, self.id_col, self.text_col, []).select("text", "text_key", *_plain_id(F.col("doc_id"))).withColumn("bit", bit)
-        rows = rows.join(F.broadcast(held), F.expr("bit div 64 = word")).where("(shiftrightunsigned(bits, cast(bit % 64 AS int)) & 1) = 1")
+        names = ROW
+        wanted = checkpointed(self.classes.join(numbers, "key").select("key", *_rep(), F.ceil(F.col("pairs") / SALT_PAIRS).cast("int").alias("salts")))
+        rows = self._rows_about(wanted)
         heavy = F.broadcast(wanted.where("salts > 1").select(*names, "salts"))
         rows = rows.join(heavy, [*names], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         texts = rows.groupBy(*names, "salt").agg(F.first("text").alias("text"))
