@@ -19,6 +19,8 @@ MOST_WIDE = 16
 MOST_BROADCAST = 1 << 18
 TASK_PRODUCTS = 1 << 21
 MOST_TASKS = 10_000
+#: Rows of the right side in a block, on average: few enough that their ids are one byte each in a Parquet dictionary.
+BLOCK_ROWS = 192
 
 
 def inner_indices(cells: DataFrame, k: str) -> list | None:
@@ -56,9 +58,19 @@ def dealt(df: DataFrame, products: int, *by: str) -> DataFrame:
     return df.repartition(min(MOST_TASKS, max(1, -(-products // TASK_PRODUCTS))), *by)
 
 
-def all_pairs(left: DataFrame, right: DataFrame, by: str, other: str, on=None) -> DataFrame:
-    """Every row of ``left`` beside every row of ``right``, without a shuffle of the pairs. Too many rows to broadcast meet in blocks."""
+def all_pairs(left: DataFrame, right: DataFrame, by: str, other: str, on=None, compact: bool = False) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right``, without a shuffle of the pairs. Too many rows to broadcast meet in blocks.
+
+    With ``compact``, where both sides can be broadcast, a task makes the pairs of one block of each, a left row beside the same
+    short run of right ones again and again: of the many pairs that are then written, both ids take up next to no room.
+    """
     m, n = left.count(), right.count()
+    if compact and 0 < m <= MOST_BROADCAST and 0 < n <= MOST_BROADCAST:
+        down, across = max(1, -(-m * BLOCK_ROWS // TASK_PRODUCTS)), max(1, -(-n // BLOCK_ROWS))
+        cut = lambda df, key, blocks, name: F.broadcast(df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")))
+        grid = left.sparkSession.range(0, down * across, 1, min(MOST_TASKS, down * across)).select(F.expr(f"id div {down}").alias("right_block"), F.expr(f"id % {down}").alias("left_block"))
+        met = grid.join(cut(left, by, down, "left_block"), "left_block").join(cut(right, other, across, "right_block"), "right_block").drop("left_block", "right_block")
+        return met if on is None else met.where(on)
     if n <= MOST_BROADCAST:
         return dealt(left, m * n, by).join(F.broadcast(right), F.lit(True) if on is None else on)
     blocks = -(-n // MOST_BROADCAST) * 16
@@ -79,7 +91,7 @@ def gemm(x: DataFrame, y: DataFrame, transpose_x: bool = False, transpose_y: boo
     inner = inner_indices(right, "k")
     if inner is None:
         return added
-    met = all_pairs(wide_rows(left, "i", "k", "x", "i", inner), wide_rows(right, "j", "k", "y", "j", inner), "i", "j", common("i", "j"))
+    met = all_pairs(wide_rows(left, "i", "k", "x", "i", inner), wide_rows(right, "j", "k", "y", "j", inner), "i", "j", common("i", "j"), compact=True)
     return met.select("i", "j", inner_product("i", "j", inner, added.schema["v"].dataType).alias("v"))
 
 
