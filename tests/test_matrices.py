@@ -219,3 +219,25 @@ def test_grid_of_a_parent_is_not_shuffled(spark, monkeypatch):
     wanted = [(i, j, v) for i in range(4) for j in range(20) for v in ([c if c is not None else -i * 100 - j for a, b, c in rows if (a, b) == (i, j)] or [-i * 100 - j])]
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
     assert exchanged_rows(found) < 20
+
+
+def bytes_a_row(df, path):
+    df.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / df.sparkSession.read.parquet(str(path)).count()
+
+
+def test_written_distances_and_products_are_small(spark, tmp_path):
+    few = spark.range(50).selectExpr("id AS i", "0L AS j", "1L AS v")
+    many = spark.range(40_000).selectExpr("id AS i", "0L AS j", "1L AS v")
+    assert bytes_a_row(neighbors.distances(few, many), tmp_path / "distances") < 1
+    assert bytes_a_row(gemm.gemm(few, many, transpose_y=True), tmp_path / "products") < 1
+
+
+def test_written_grid_is_small(spark, tmp_path):
+    cells = spark.range(50).selectExpr("id AS i", "id * 7 AS j", "id AS v")
+    whole = matrix.with_parent(cells, matrix.Meta((50, 40_000), (10, 10)), F.lit(-1).cast("long"))
+    assert bytes_a_row(whole, tmp_path / "grid") < 1
+    found = spark.read.parquet(str(tmp_path / "grid"))
+    assert found.count() == found.select("i", "j").distinct().count() == 2_000_000
+    assert found.where("i BETWEEN 0 AND 49 AND j BETWEEN 0 AND 39999").count() == 2_000_000
+    assert sorted(tuple(r) for r in found.where("v >= 0").collect()) == [(k, 7 * k, k) for k in range(50)]

@@ -27,7 +27,7 @@ def distances(x: DataFrame, y: DataFrame) -> DataFrame:
         left, right = (wide_rows(c, "i", "j", "v", n, few, size.alias(f"s_{n}")) for c, n in ((x, "i"), (y, "j")))
         kind = x.select(size.alias("s")).schema["s"].dataType
         dot = F.coalesce(inner_product("i", "j", few, kind), F.lit(0))
-        return all_pairs(left, right, "i", "j").select("i", "j", (F.col("s_i") + F.col("s_j") - 2 * dot).alias("v"))
+        return all_pairs(left, right, "i", "j", compact=True).select("i", "j", (F.col("s_i") + F.col("s_j") - 2 * dot).alias("v"))
     square = lambda c, n: c.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("s")).select(F.col("i").alias(n), F.col("s").alias(f"s_{n}"))
     right = square(y, "j")
     left, right = _met_by_block(square(x, "i"), right, "j", -(-right.count() // BLOCK))
